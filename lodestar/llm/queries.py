@@ -7,17 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _run, chat, exact_dedup, repetition, sharding
+from . import _run, chat, exact_dedup, mixing, packing, quality_crf, repetition, sharding, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def held_out(column: str = "doc_id"):
+    """Documents that no classifier learns from."""
+    return F.crc32(F.encode(F.col(column).cast("string"), "utf-8")) % 5 == 0
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality_crf.Model:
+    documents, labels = _run.table(spark, sf_dir, "documents"), _run.table(spark, sf_dir, "labels")
+    return quality_crf.fit(documents, labels.filter(~held_out()))
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_crf.score(_run.table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted", "good_share", "n_lines")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shards(_run.table(spark, sf_dir, "documents"), 24)
     text = F.encode(F.coalesce(F.col("record.text"), F.lit("")), "utf-8")
     return out.select("record.doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_run.table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_run.table(spark, sf_dir, "documents"))
 
@@ -47,8 +66,22 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(_run.table(spark, sf_dir, "documents"))
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_run.table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_run.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_sharding, op4_exact_dedup, op5_chat_formatting, op7_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_sharding, op3_packing, op4_exact_dedup, op5_chat_formatting, op7_quality_rules, op8_token_counts, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
