@@ -159,11 +159,14 @@ def mixture(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     """The rows that the mix takes, each as often as it is taken; all columns as they are."""
     other, key, spot, copies, alike, at = _run.fresh(df, "id_", "key_", "spot_", "copies_", "alike_", "at_")
     plan = mix(df, id_column, text_column, seed=seed, **options)
-    takes = plan.filter("copies > 0").groupBy(F.col("doc_id").alias(other), F.col("place").alias(key)).agg(F.sum("copies").alias(copies))
+    takes = plan.filter("copies > 0").groupBy(F.col("doc_id").alias(other), F.col("place").alias(key)).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(alike))
+    takes = _run.cut(takes)
     own = df.withColumn(spot, F.pmod(_run.seeded(seed, F.col(id_column), F.crc32(_run.utf8(text_column))), F.lit(1 << 62)))
     joined = own.join(takes, own[id_column].eqNullSafe(takes[other]) & (F.col(spot) == F.col(key)))
-    # Rows alike in id and text share what their like takes, evenly.
-    like = Window.partitionBy(own[id_column], spot)
-    joined = joined.withColumn(alike, F.count(F.lit(1)).over(like)).withColumn(at, F.row_number().over(like.orderBy(F.lit(0))))
-    each = F.floor(F.col(copies) / F.col(alike)) + (F.col(at) <= F.col(copies) % F.col(alike)).cast("int")
+    each = F.col(copies)
+    if not takes.filter(F.col(alike) > 1).isEmpty():
+        # Rows alike in id and text share what their like takes, evenly.
+        like = Window.partitionBy(own[id_column], spot)
+        joined = joined.withColumn(alike, F.count(F.lit(1)).over(like)).withColumn(at, F.row_number().over(like.orderBy(F.lit(0))))
+        each = F.floor(F.col(copies) / F.col(alike)) + (F.col(at) <= F.col(copies) % F.col(alike)).cast("int")
     return joined.withColumn(at, F.explode(F.array_repeat(F.lit(1), each.cast("int")))).select(*df.columns)

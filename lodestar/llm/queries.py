@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _run, chat, exact_dedup, mixing, packing, quality_crf, repetition, sharding, token_counts
+from . import _run, chat, exact_dedup, mixing, packing, quality_crf, repetition, sharding, simhash, suffix_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +62,11 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(_run.table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(_run.table(spark, sf_dir, "documents"))
 
@@ -80,8 +85,13 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_run.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_classes(_run.table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_sharding, op3_packing, op4_exact_dedup, op5_chat_formatting, op7_quality_rules, op8_token_counts, op9_mixing)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_sharding, op3_packing, op4_exact_dedup, op5_chat_formatting, op6_suffix_dedup, op7_quality_rules, op8_token_counts, op9_mixing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
