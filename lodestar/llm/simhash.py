@@ -209,7 +209,7 @@ def near_links(vectors: DataFrame, similarity: float = SIMILARITY, recall: float
             else:
                 short = lists.join(long_ones, "list", "left_anti")
                 long = lists.join(long_ones.select("list"), "list", "left_semi")
-        found = short.repartition("list").sortWithinPartitions("list").mapInArrow(_near(radius), "a binary, b binary")
+        found = short.repartition("list").sortWithinPartitions("list", "fp").mapInArrow(_near(radius), "a binary, b binary")
         links = found if links is None else links.unionByName(found)
         if long is None:
             break
@@ -218,17 +218,30 @@ def near_links(vectors: DataFrame, similarity: float = SIMILARITY, recall: float
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, label): the smallest node of each node's component, by neighbours' minima and pointer jumps."""
-    both = _run.cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = _run.cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    """(node, label): the smallest node of each node's component.
+
+    Each round every node moves along smallest neighbours as far as they lead, and links are drawn between what the
+    nodes moved to; links inside one of these vanish, so that a star of any size is gone after one round.
+    """
+    edges = _run.cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct())
+    labels = None
     for _ in range(rounds):
-        low = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("low"))
-        hooked = labels.join(low, labels["node"] == low["a"]).select("node", F.col("label").alias("old"), F.least("label", "low").alias("label"))
-        jump = hooked.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = _run.cut(hooked.join(jump, "label", "left").select("node", "old", F.coalesce("further", "label").alias("label")))
-        if new.filter("old != label").isEmpty():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+        if labels is not None and edges.isEmpty():
+            return labels
+        both = edges.union(edges.select("b", "a"))
+        near = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to"))
+        near = _run.cut(near)
+        while True:  # pointers double their reach, so that a chain takes logarithmically many steps
+            jump = near.select(F.col("node").alias("to"), F.col("to").alias("further"))
+            jumped = _run.cut(near.join(jump, "to").select("node", F.col("further").alias("to"), (F.col("further") != F.col("to")).alias("moved")))
+            near = jumped.select("node", "to")
+            if jumped.filter("moved").isEmpty():
+                break
+        left, right = near.toDF("a", "x"), near.toDF("b", "y")
+        moved = edges.join(left, "a").join(right, "b").filter("x != y")
+        edges = _run.cut(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        # What earlier rounds gave moves along.
+        labels = near.toDF("node", "label") if labels is None else _run.cut(labels.join(near.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
     raise RuntimeError("components did not settle")
 
 
