@@ -31,7 +31,7 @@ STEPS, PHASES = 100, 2
 #: Pieces of a class that one task ranks.
 RANK_ROWS = 50_000
 #: Chunks whose ids a worker remembers.
-CACHE = 400_000
+CACHE = 1_200_000
 
 _tokenizers: dict[str, object] = {}
 _ids: dict[str, dict[str, bytes]] = defaultdict(dict)
@@ -61,8 +61,9 @@ def _byte_letters() -> list[str]:
 
 
 _LETTERS = _byte_letters()
-#: Latin words with end marks: normal form, lower case and pre-tokens of these are plain to see.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
+#: Latin letters, digits and ASCII signs but for the apostrophe: normal form, lower case and pre-tokens of these are plain to see.
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]+")
+_PART = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 
 
 def encode(path: str, texts: list[str]) -> list[bytes]:
@@ -92,23 +93,17 @@ def encode(path: str, texts: list[str]) -> list[bytes]:
         return struct.pack(f"<{len(ids)}I", *ids) if (ids := [k.id for k in model.tokenize(word)]) else b""
 
     missing = []
-    for chunks in split:
-        for c in chunks:
-            if c not in known:
-                if m := _PLAIN.fullmatch(c):
-                    word, marks = m[1].lower(), m[2]
-                    ids = parts.get(word)
-                    if ids is None:
-                        ids = parts[word] = of_model(word)
-                    if marks:
-                        end = parts.get(marks)
-                        if end is None:
-                            end = parts[marks] = of_model(marks)
-                        ids += end
-                    known[c] = ids
-                else:
-                    known[c] = b""
-                    missing.append(c)
+    for c in set().union(*split).difference(known):
+        if _PLAIN.fullmatch(c):
+            made = []
+            for part in _PART.findall(c.lower()):
+                ids = parts.get(part)
+                if ids is None:
+                    ids = parts[part] = of_model(part)
+                made.append(ids)
+            known[c] = made[0] if len(made) == 1 else b"".join(made)
+        else:
+            missing.append(c)
     for c, e in zip(missing, t.encode_batch_fast(missing, add_special_tokens=False), strict=True):
         known[c] = np.asarray(e.ids, "<u4").tobytes()
     out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
