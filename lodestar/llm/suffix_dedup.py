@@ -12,7 +12,7 @@ windows are compared one by one. Strings are told apart by two independent 64-bi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from . import _run
 from . import _text as T
 
 LENGTH, PREFIX = 400, 120
-BATCHES = 4
+BATCHES = 2
 #: A longer text is hashed in segments that overlap by a window.
 SEGMENT = 8 << 20
 #: Distinct contexts of a suffix that one task compares; those of a more frequent one are counted by exchange.
@@ -84,55 +84,70 @@ def _segments(texts: pa.Array, length: int, segment: int) -> Iterator[tuple[int,
 
 
 def marked(df: DataFrame, length: int = LENGTH, prefix: int = PREFIX, segment: int = SEGMENT) -> DataFrame:
-    """(key, text) → (key, s, e, p, a, c) for each marked suffix."""
+    """(key, text) → (a, c, key, at) for each marked suffix; ``at`` packs the first window, how many follow it, and the place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
                 for begin, _, data, offsets, base in _segments(batch.column(1), length, segment):
                     text, s, e, p, a, c = suffixes(data, offsets, length, prefix)
-                    start = offsets[text] - base
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text + begin)), *(pa.array((x - start).astype(np.int32)) for x in (s, e, p)), pa.array(a.view(np.int64)), pa.array(c.view(np.int64))], names=["key", "s", "e", "p", "a", "c"])
+                    at = ((s - offsets[text] + base) << 32) | ((e - s) << 16) | (p - s)
+                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), batch.column(0).take(pa.array(text + begin)), pa.array(at)], names=["a", "c", "key", "at"])
 
     kind = df.select("key").schema[0].dataType.simpleString()
-    return df.select("key", "text").mapInArrow(run, f"key {kind}, s int, e int, p int, a long, c long")
+    return df.select("key", "text").mapInArrow(run, f"a long, c long, key {kind}, at long")
+
+
+def _unpacked(at: str = "at"):
+    """First window, last window and place of a suffix in its text."""
+    s = F.shiftright(at, 32)
+    return s.alias("s"), (s + F.shiftright(at, 16).bitwiseAND(F.lit(0xFFFF))).alias("e"), (s + F.col(at).bitwiseAND(F.lit(0xFFFF))).alias("p")
 
 
 class IndexFamily:
     """Indexes (a, c, n): suffix, context, occurrences, kept in the order of their suffixes; sizes are powers of two batches."""
 
     def __init__(self) -> None:
-        self.levels: dict[int, DataFrame] = {}
+        self.levels: dict[int, tuple[DataFrame, Callable[[], None]]] = {}
 
     @staticmethod
-    def _index(rows: DataFrame) -> DataFrame:
-        return _run.cut(rows.groupBy("a", "c").agg(F.sum("n").alias("n")).sortWithinPartitions("a", "c"))
+    def _index(rows: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+        return _run.stored(rows.groupBy("a", "c").agg(F.sum("n").alias("n")).sortWithinPartitions("a", "c"))
 
     def add(self, suffix_rows: DataFrame) -> None:
         """A new batch; while a level of its size exists the two merge."""
-        new, size = self._index(suffix_rows.select("a", "c", F.lit(1).cast("long").alias("n"))), 1
+        (new, drop_new), size = self._index(suffix_rows.select("a", "c", F.lit(1).cast("long").alias("n"))), 1
         while size in self.levels:
-            new, size = self._index(new.unionByName(self.levels.pop(size))), 2 * size
-        self.levels[size] = new
-
-    def scan(self) -> DataFrame:
-        """(a, c, n, contexts) of suffixes that occur at least twice in all levels together."""
+            old, drop_old = self.levels.pop(size)
+            merged = self._index(new.unionByName(old))
+            drop_new()
+            drop_old()
+            (new, drop_new), size = merged, 2 * size
+        self.levels[size] = new, drop_new
+
+    def scan(self) -> tuple[DataFrame, DataFrame]:
+        """All levels together: (a, c, n), and (a, contexts) of the suffixes that occur at least twice."""
         rows = None
-        for level in self.levels.values():
+        for level, _ in self.levels.values():
             rows = level if rows is None else rows.unionByName(level)
         rows = rows if len(self.levels) == 1 else rows.groupBy("a", "c").agg(F.sum("n").alias("n"))
         often = rows.groupBy("a").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("contexts")).filter("all > 1").select("a", "contexts")
-        return rows.join(often, "a")
+        return rows, often
+
+    def drop(self) -> None:
+        for _, drop in self.levels.values():
+            drop()
+        self.levels.clear()
 
 
 def _window_hashes(length: int):
-    """(key, text, list of (s, e, p, a, c, n)) → (a, c, n, rel, hashes): the windows of each context that is compared."""
+    """(key, text, list of (s, e, p, a, n)) → (a, n, key, p, rel, hashes): the windows of each context that is compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                out: list[list] = [[], [], [], [], []]
-                for text, asked in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                out: list[list] = [[], [], [], [], [], []]
+                for key, text, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                     data = np.frombuffer(text.as_buffer(), np.uint8)
                     h = T.Hasher(data, _WINDOW_BASE)
                     for x in asked:
@@ -140,18 +155,22 @@ def _window_hashes(length: int):
                         # A window is told by its suffix, its place to it and its bytes.
                         told = T.mix(np.uint64(x["a"] & (2**64 - 1)) + (at - x["p"] + length).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                         hashes = T.mix(h.of(at, at + length) ^ told)
-                        for col, v in zip(out, (x["a"], x["c"], x["n"], x["s"] - x["p"], hashes.tobytes()), strict=True):
+                        for col, v in zip(out, (x["a"], x["n"], key, x["p"], x["s"] - x["p"], hashes.tobytes()), strict=True):
                             col.append(v)
                     if len(out[0]) > 2000:
                         yield _windows_batch(out)
-                        out = [[], [], [], [], []]
+                        out = [[], [], [], [], [], []]
                 yield _windows_batch(out)
 
     return run
 
 
+WINDOWS = "a long, n long, key binary, p int, rel int, hashes binary"
+
+
 def _windows_batch(out: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.binary())], names=["a", "c", "n", "rel", "hashes"])
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["a", "n", "key", "p", "rel", "hashes"])
 
 
 def _runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,23 +179,25 @@ def _runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by suffix → (a, c, lo, hi): windows, by their distance from the suffix, that another context has too."""
+    """Rows sorted by suffix → (key, lo, hi): first and last of the windows in a row that another context has too.
+
+    Only of contexts that occur once, whose one place is the row's; the windows of others are known to repeat.
+    """
     rest: list[pa.RecordBatch] = []
 
     def work(t: pa.Table) -> pa.RecordBatch:
-        a, c = t.column("a").combine_chunks().to_numpy(), t.column("c").combine_chunks().to_numpy()
-        n, rel = t.column("n").combine_chunks().to_numpy(), t.column("rel").combine_chunks().to_numpy()
-        parts = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
-        size = np.asarray([len(x) for x in parts], np.int64)
-        twice, _ = T.repeated(np.concatenate(parts)) if parts else (np.empty(0, bool), None)
-        begin = np.concatenate([[0], np.cumsum(size)])
-        out = [[], [], [], []]
-        for i in np.flatnonzero((n == 1) & (np.add.reduceat(np.append(twice, False), begin[:-1]) > 0 if len(parts) else n > n)):
+        n, parts = t.column("n").combine_chunks().to_numpy(), [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
+        base = t.column("p").combine_chunks().to_numpy() + t.column("rel").combine_chunks().to_numpy()
+        twice, _ = T.repeated(np.concatenate(parts))
+        begin = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        row, first, last = [], [], []
+        for i in np.flatnonzero(n == 1):
             lo, hi = _runs_of(twice[begin[i] : begin[i + 1]])
-            for x, y in zip(lo.tolist(), hi.tolist(), strict=True):
-                for col, v in zip(out, (int(a[i]), int(c[i]), int(rel[i]) + x, int(rel[i]) + y), strict=True):
-                    col.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], names=["a", "c", "lo", "hi"])
+            row += [i] * len(lo)
+            first += (lo + base[i]).tolist()
+            last += (hi + base[i]).tolist()
+        keys = t.column("key").combine_chunks().take(pa.array(row, pa.int64()))
+        return pa.RecordBatch.from_arrays([keys, pa.array(first, pa.int32()), pa.array(last, pa.int32())], names=["key", "lo", "hi"])
 
     for batch in batches:
         if not len(batch):
@@ -203,19 +224,19 @@ def _compare_frequent(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
-                hashes = [np.frombuffer(x, np.int64) for x in part.column(4).to_pylist()]
-                size = np.asarray([len(x) for x in hashes], np.int64)
-                who = pa.array(np.repeat(np.arange(len(part)), size))
-                rel = np.concatenate([np.arange(len(x), dtype=np.int32) + r for x, r in zip(hashes, part.column(3).to_pylist(), strict=True)])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(who), part.column(1).take(who), part.column(2).take(who), pa.array(rel), pa.array(np.concatenate(hashes))], names=["a", "c", "n", "at", "h"])
+                hashes = [np.frombuffer(x, np.int64) for x in part.column(5).to_pylist()]
+                who = pa.array(np.repeat(np.arange(len(part)), [len(x) for x in hashes]))
+                base = part.column(3).to_numpy() + part.column(4).to_numpy()
+                place = np.concatenate([np.arange(len(x), dtype=np.int32) + r for x, r in zip(hashes, base, strict=True)])
+                yield pa.RecordBatch.from_arrays([part.column(2).take(who), part.column(1).take(who), pa.array(place.astype(np.int32)), pa.array(np.concatenate(hashes))], names=["key", "n", "at", "h"])
 
-    one = rows.mapInArrow(spread, "a long, c long, n long, at int, h long")
+    one = rows.mapInArrow(spread, "key binary, n long, at int, h long")
     often = one.groupBy("h").count().filter("count > 1").select("h")
-    return one.filter("n = 1").join(often, "h").select("a", "c", F.col("at").alias("lo"), F.col("at").alias("hi"))
+    return one.filter("n = 1").join(often, "h").select("key", F.col("at").alias("lo"), F.col("at").alias("hi"))
 
 
-def _filter(keys: DataFrame, bits: int = FILTER_BITS):
-    """A Bloom filter of the keys' hashes, as a broadcast and the Column function that asks it."""
+def _filter(hashes: DataFrame, bits: int = FILTER_BITS):
+    """A Bloom filter of a column of hashes: what keeps the batches' rows whose first column it may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(bits, bool)
@@ -224,9 +245,9 @@ def _filter(keys: DataFrame, bits: int = FILTER_BITS):
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(found).tobytes()], pa.binary())], names=["bits"])
 
     total = np.zeros(bits // 8, np.uint8)
-    for r in keys.select(F.xxhash64("key").alias("h")).coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
+    for r in hashes.coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
         total |= np.frombuffer(r["bits"], np.uint8)
-    known = keys.sparkSession.sparkContext.broadcast(total)
+    known = hashes.sparkSession.sparkContext.broadcast(total)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.unpackbits(known.value).astype(bool)
@@ -236,34 +257,50 @@ def _filter(keys: DataFrame, bits: int = FILTER_BITS):
     return keep
 
 
+def _key(id_column: str, text_column: str):
+    """128 bits for a row's id and text; rows alike in both are interchangeable here."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_column).cast("string"), F.lit("null")).cast("binary"), F.lit(":").cast("binary"), _run.utf8(text_column))))
+
+
 def repeats(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, prefix: int = PREFIX, n_batches: int = BATCHES, contexts: int = CONTEXTS, segment: int = SEGMENT) -> DataFrame:
     """(key, spans) of the rows in which something repeats: the id and MD5 of the text, and sorted [start, end) bytes."""
-    row_key = F.concat(F.coalesce(F.col(id_column).cast("string"), F.lit("null")), F.lit(":"), F.md5(_run.utf8(text_column)))
-    docs = df.select(row_key.alias("key"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    rows = _run.cut(marked(docs, length, prefix, segment))
+    docs = df.select(_key(id_column, text_column).alias("key"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    rows, drop_rows = _run.stored(marked(docs, length, prefix, segment))
     family = IndexFamily()
     for b in range(n_batches):
         family.add(rows.filter(F.pmod(F.xxhash64("key"), F.lit(n_batches)) == b))
-    hits = _run.cut(rows.join(family.scan(), ["a", "c"]))
-    whole = hits.filter("n > 1").select("key", F.col("s").alias("start"), (F.col("e") + length).alias("end"))
+    index, often = family.scan()
+    often, drop_often = _run.stored(often)
+    keep = _filter(often.select("a"))
+    entries = index.select("a", "c", "n").mapInArrow(keep, "a long, c long, n long").join(often, "a")
+    some = rows.mapInArrow(keep, "a long, c long, key binary, at long")
+    hits, drop_hits = _run.stored(some.join(entries, ["a", "c"]))
+    family.drop()
+    drop_rows()
+    drop_often()
+    s, e, p = _unpacked()
+    whole = hits.filter("n > 1").select("key", s.alias("start"), (e + length).alias("end"))
     # One place of each context of a suffix that has several.
-    chosen = hits.filter("contexts > 1").groupBy("a", "c").agg(F.min(F.struct("key", "s", "e", "p")).alias("w"), F.max("n").alias("n"), F.max("contexts").alias("contexts"))
-    chosen = _run.cut(chosen)
-    asked = chosen.select("w.key", F.struct("w.s", "w.e", "w.p", "a", "c", "n").alias("x")).groupBy("key").agg(F.collect_list("x").alias("asked"))
-    keep = _filter(asked.select("key"))
-    told = docs.select(F.xxhash64("key").alias("h"), "key", "text").mapInArrow(keep, "h long, key string, text string").drop("h")
-    told = told.dropDuplicates(["key"]).join(asked, "key").select("text", "asked")
-    windows = _run.cut(told.mapInArrow(_window_hashes(length), "a long, c long, n long, rel int, hashes binary"))
+    chosen = hits.filter("contexts > 1").groupBy("a", "c").agg(F.min(F.struct("key", "at")).alias("w"), F.max("n").alias("n"), F.max("contexts").alias("contexts"))
+    chosen = _run.cut(chosen.select("a", "c", "n", "contexts", "w.key", "w.at"))
+    asked = chosen.select("key", F.struct(s, e, p, "a", "n").alias("x")).groupBy("key").agg(F.collect_list("x").alias("asked"))
+    keep_texts = _filter(chosen.select(F.xxhash64("key").alias("h")))
+    told = docs.select(F.xxhash64("key").alias("h"), "key", "text").mapInArrow(keep_texts, "h long, key binary, text string").drop("h")
+    told = told.dropDuplicates(["key"]).join(asked, "key").select("key", "text", "asked")
+    windows = told.mapInArrow(_window_hashes(length), WINDOWS)
     frequent = chosen.filter(F.col("contexts") > contexts).select("a").distinct()
     few, many = windows, None
     if not frequent.isEmpty():
-        frequent = _run.cut(frequent)
+        windows, frequent = _run.cut(windows), _run.cut(frequent)
         few, many = windows.join(frequent, "a", "left_anti"), windows.join(frequent, "a", "left_semi")
-    found = few.repartition("a").sortWithinPartitions("a").mapInArrow(_compare, "a long, c long, lo int, hi int")
+    found = few.repartition("a").sortWithinPartitions("a").mapInArrow(_compare, "key binary, lo int, hi int")
     if many is not None:
-        found = found.unionByName(_compare_frequent(many.select("a", "c", "n", "rel", "hashes")))
-    single = hits.filter("n = 1 and contexts > 1").select("a", "c", "key", "p").join(found, ["a", "c"]).select("key", (F.col("p") + F.col("lo")).alias("start"), (F.col("p") + F.col("hi") + length).alias("end"))
-    spans = _run.cut(whole.unionByName(single).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")))
+        found = found.unionByName(_compare_frequent(many.select("a", "n", "key", "p", "rel", "hashes")))
+    # A context that occurs once has no other place than the one chosen.
+    single = found.select("key", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
+    both = whole.unionByName(single).select("key", F.col("start").cast("int"), F.col("end").cast("int"))
+    spans = _run.stored(both.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")))[0]
+    drop_hits()
     return spans
 
 
@@ -291,9 +328,8 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text_column: str =
     spans = repeats(df, id_column, text_column, **options)
     field = df.select(id_column).schema[0]
     kind, sql_kind = to_arrow_type(field.dataType), field.dataType.simpleString()
-    row_key = F.concat(F.coalesce(F.col(id_column).cast("string"), F.lit("null")), F.lit(":"), F.md5(_run.utf8(text_column)))
-    keep = _filter(spans.select("key"))
-    docs = df.select(F.xxhash64(row_key).alias("h"), row_key.alias("key"), F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    keep = _filter(spans.select(F.xxhash64("key").alias("h")))
+    docs = df.select(F.xxhash64(_key(id_column, text_column)).alias("h"), _key(id_column, text_column).alias("key"), F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
 
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts go on only if the filter knows their key; of the others the hash is enough."""
@@ -306,7 +342,7 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text_column: str =
             text = pc.if_else(pa.array(on), batch.column(3), pa.scalar(None, batch.column(3).type))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), text.cast(pa.string()), pc.binary_length(raw).cast(pa.int64()), sha], names=["key", "doc_id", "text", "n_bytes", "sha"])
 
-    sent = docs.mapInArrow(flag, f"key string, doc_id {sql_kind}, text string, n_bytes long, sha string")
+    sent = docs.mapInArrow(flag, f"key binary, doc_id {sql_kind}, text string, n_bytes long, sha string")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -141,4 +141,4 @@ def test_levels_are_logarithmic(spark):
     for _ in range(5):
         family.add(one)
     assert sorted(family.levels) == [1, 4]
-    assert {(r.c, r.n) for r in family.scan().collect()} == {(2, 5), (3, 5)}
+    assert {(r.c, r.n) for r in family.scan()[0].collect()} == {(2, 5), (3, 5)}
