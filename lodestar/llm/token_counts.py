@@ -24,7 +24,7 @@ HOT, CLASSES = 1 << 18, 1 << 10
 #: Longer pre-tokens are counted in place, so that the dictionary's bytes are bounded as well.
 LONGEST = 64
 #: A task's counter is emptied when it holds so many pre-tokens.
-FLUSH = 400_000
+FLUSH = 800_000
 
 # A space inside a run of white space, or at its end at the end of the text, may be taken into the run.
 _RUN = re.compile(r"\s \s|\s \Z")
@@ -57,10 +57,6 @@ def _whole(text: str, specials: list[str]) -> bool:
     return bool(_RUN.search(text)) or any(s in text for s in specials)
 
 
-def _long(chunks: Counter) -> list[str]:
-    return [c for c in chunks if len(c) > LONGEST]
-
-
 def _frequencies(path: str):
     """Pass one: (class-free) frequencies of pre-tokens, added up per task. A first pre-token has no space."""
 
@@ -70,8 +66,9 @@ def _frequencies(path: str):
         first: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            keys = [" " + c for c in inner if len(c) <= LONGEST] + ["^" + c for c in first if len(c) <= LONGEST]
-            n = [v for c, v in inner.items() if len(c) <= LONGEST] + [v for c, v in first.items() if len(c) <= LONGEST]
+            # In order, so that neighbours share their beginnings and compress well.
+            found = sorted([(" " + c, v) for c, v in inner.items() if len(c) <= LONGEST] + [("^" + c, v) for c, v in first.items() if len(c) <= LONGEST])
+            keys, n = [c for c, _ in found], [v for _, v in found]
             inner.clear()
             first.clear()
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(n, pa.int64())], names=["key", "n"])
@@ -142,7 +139,8 @@ def _documents(path: str, hot, kind: pa.DataType):
                     n.append(total)
                     who.append(i.as_py())
                     size.append(len(t.encode()))
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.string()), pa.array(rid, pa.int64()), pa.array(n, pa.int64()), pa.array(who, kind), pa.array(size, pa.int64())], names=["key", "rid", "n", "doc_id", "n_bytes"])
+                out = pa.RecordBatch.from_arrays([pa.array(key, pa.string()), pa.array(rid, pa.int64()), pa.array(n, pa.int64()), pa.array(who, kind), pa.array(size, pa.int64())], names=["key", "rid", "n", "doc_id", "n_bytes"])
+                yield out.sort_by("key")
 
     return run
 
