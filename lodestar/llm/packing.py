@@ -31,7 +31,7 @@ STEPS, PHASES = 100, 2
 #: Pieces of a class that one task ranks.
 RANK_ROWS = 50_000
 #: Chunks whose ids a worker remembers.
-CACHE = 1_200_000
+CACHE = 600_000
 
 _tokenizers: dict[str, object] = {}
 _ids: dict[str, dict[str, bytes]] = defaultdict(dict)

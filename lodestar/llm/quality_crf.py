@@ -242,16 +242,13 @@ def score(df: DataFrame, model: Model, id_column: str = "doc_id", text_column: s
 
 def keep_good(df: DataFrame, model: Model, text_column: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of ``df`` whose text scores at least ``threshold``; all columns as they are."""
-    (flag,) = _run.fresh(df, "good_")
+    at = df.columns.index(text_column)
 
-    @F.pandas_udf("boolean")
-    def good(texts):
-        import pandas as pd
-
-        out = []
-        for _, _, data, offsets in T.blocks(pa.Array.from_pandas(texts, type=pa.string())):
-            text, size, own, first = features(data, offsets)
-            out.append(model.quality(model.raw(text, size, own, first), np.diff(first) > 0) >= threshold)
-        return pd.Series(np.concatenate(out) if out else np.empty(0, bool))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, stop, data, offsets in T.blocks(batch.column(at)):
+                text, size, own, first = features(data, offsets)
+                good = model.quality(model.raw(text, size, own, first), np.diff(first) > 0) >= threshold
+                yield batch.slice(begin, stop - begin).filter(pa.array(good))
 
-    return df.withColumn(flag, good(F.col(text_column))).filter(F.col(flag)).drop(flag)
+    return df.mapInArrow(run, df.schema)
