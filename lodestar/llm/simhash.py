@@ -26,8 +26,8 @@ BITS, STRIP, STRIPS = 128, 32, 4
 WEIGHT = 7
 #: Vectors of a list that is compared by brute force; longer ones recurse, and after the last strip are divided.
 LIST_ROWS = 4096
-#: Distinct texts of a candidate component that one task verifies at once, and those of a cluster that stand for it
-#: towards the parts of a larger component.
+#: Distinct texts of a candidate component that one task verifies at once, and those of a cluster that first stand for
+#: it towards the other parts of a larger component.
 VERIFY_ROWS, LEADERS = 2048, 32
 
 _SIGNS = np.where((np.arange(256)[:, None] >> np.arange(8)) & 1, 1, -1).astype(np.float32)
@@ -245,30 +245,42 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def cluster(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
+def cluster(sets: list[np.ndarray], similarity: float = SIMILARITY, known: list | None = None, side: list | None = None) -> np.ndarray:
     """Classes of the graph of all pairs with at least this Jaccard similarity, each named by its first member.
 
-    Members of one class need no further comparison; those that stand nearest the front are tried first.
+    Members of one class need no further comparison; those that stand nearest the front are tried first. ``known`` names
+    classes found before; members of one ``side`` have been compared with each other before.
     """
-    n = len(sets)
-    parent = list(range(n))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    sizes = [len(s) for s in sets]
-    for i in range(n):
-        for j in range(i):
-            a, b = root(i), root(j)
-            if a == b or min(sizes[i], sizes[j]) < similarity * max(sizes[i], sizes[j]) - 1e-9:
-                continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if both >= similarity * (sizes[i] + sizes[j] - both) - 1e-9:
-                parent[max(a, b)] = min(a, b)
-    return np.asarray([root(i) for i in range(n)], np.int64)
+    n, first = len(sets), {}
+    label = np.arange(n) if known is None else np.asarray([first.setdefault(k, i) for i, k in enumerate(known)], np.int64)
+    sides = None if side is None else np.asarray(side)
+    sizes = np.asarray([len(s) for s in sets], np.int64)
+    begins = np.cumsum(sizes) - sizes
+    names, codes = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_inverse=True)
+    mark = np.zeros(len(names), bool)
+    for i in range(1, n):
+        may = (label[:i] != label[i]) & (np.minimum(sizes[:i], sizes[i]) >= similarity * np.maximum(sizes[:i], sizes[i]) - 1e-9)
+        left = np.flatnonzero(may if sides is None else may & (sides[:i] != sides[i]))
+        if not len(left):
+            continue
+        mine = codes[begins[i] : begins[i] + sizes[i]]
+        mark[mine] = True
+        step = 8
+        while len(left):
+            step = max(1, int(np.searchsorted(np.cumsum(sizes[left[:step]]), 1 << 18, "right")))
+            at, left = left[:step], left[step:]
+            step *= 4
+            stop = np.cumsum(sizes[at])
+            found = mark[codes[np.repeat(begins[at] - stop + sizes[at], sizes[at]) + np.arange(stop[-1])]]
+            run = np.concatenate([[0], np.cumsum(found)])
+            both = run[stop] - run[stop - sizes[at]]
+            for j in at[both >= similarity * (sizes[i] + sizes[at] - both) - 1e-9]:
+                a, b = sorted((label[i], label[j]))
+                if a != b:
+                    label[label == b] = a
+            left = left[label[left] != label[i]]
+        mark[mine] = False
+    return label
 
 
 def _verify(similarity: float, leaders: int):
@@ -293,6 +305,19 @@ def _verify(similarity: float, leaders: int):
     return run
 
 
+def _meet(similarity: float):
+    """(block, part, head, grams) → (a, b): heads of clusters that a pair of texts of the block's two parts links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            head = group.column("head").to_pylist()
+            label = cluster([np.frombuffer(g, np.uint64) for g in group.column("grams").to_pylist()], similarity, head, group.column("part").to_pylist())
+            links = sorted({(h, head[k]) for h, k in zip(head, label.tolist(), strict=True) if h != head[k]})
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.binary()), pa.array([b for _, b in links], pa.binary())], names=["a", "b"])
+
+    return run
+
+
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
         for batch in batches:
@@ -300,6 +325,12 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[begin:stop], batch.column(1)[begin:stop], pa.array([s.tobytes() for s in shingles(data, offsets)], pa.binary())], names=["comp", "th", "grams"])
 
 
+def _merged(chain: DataFrame, links: DataFrame) -> DataFrame:
+    """(th, head) after links (a, b) between heads."""
+    merged = components(links.filter("a != b"))
+    return chain.join(merged, chain["head"] == merged["node"], "left").select("th", F.coalesce("label", "head").alias("head"))
+
+
 def near_classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY, recall: float = RECALL, verify_rows: int = VERIFY_ROWS, leaders: int = LEADERS, list_rows: int = LIST_ROWS, seed: int = 5) -> DataFrame:
     """One row for each row of ``df``: doc_id, class_id (the smallest doc_id of its class), class_size, th.
 
@@ -307,8 +338,9 @@ def near_classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
     shingles; equal texts are of one class. Texts without words (null, empty, blank) are of the class of their equals.
     Null ids are larger than any for class_id; repeated rows are members each; an empty table gives no rows.
 
-    Links are found with the probability ``recall`` at that similarity, and more surely above it. In a component of more
-    than ``verify_rows`` distinct texts, parts are verified whole and meet through ``leaders`` texts of each cluster.
+    Links are found with the probability ``recall`` at that similarity, and more surely above it. A component of more
+    than ``verify_rows`` distinct texts is verified in parts: each whole, then ``leaders`` texts of each cluster, and then,
+    unless these made it one cluster, each part with each other part on whole sets, except pairs of one cluster.
     """
     marks = _run.cut(fingerprints(df, id_column, text_column))
     texts = marks.filter("fp is not null").groupBy("th").agg(F.first("fp").alias("fp"))
@@ -319,19 +351,31 @@ def near_classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
     placed = vectors.join(labels, vectors["fp"] == labels["node"], "left").filter("n > 1 or label is not null").select("fp", F.coalesce("label", "fp").alias("comp"))
     members = _run.cut(texts.join(placed, "fp").select("th", "comp"))
     sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
-    parted = members.join(sizes, "comp").select("th", "comp", F.pmod(F.xxhash64("th"), F.ceil(F.col("n") / verify_rows).cast("int")).cast("int").alias("part"), F.ceil(F.col("n") / verify_rows).cast("int").alias("parts"))
+    # Two parts of a larger component fit a task together.
+    parts = F.when(F.col("n") > verify_rows, F.ceil(2 * F.col("n") / verify_rows)).otherwise(1).cast("int")
+    parted = members.join(sizes, "comp").select("th", "comp", F.pmod(F.xxhash64("th"), parts).cast("int").alias("part"), parts.alias("parts"))
     own = df.select(F.unhex(F.md5(_run.utf8(text_column))).alias("th"), F.col(text_column).alias("text")).join(parted, "th").dropDuplicates(["th"])
     key = F.when(F.col("parts") > 1, F.concat("comp", F.encode(F.concat(F.lit("#"), F.col("part")), "utf-8"))).otherwise(F.col("comp"))
     sets = own.select(key.alias("comp"), "th", "text").mapInArrow(_grams, "comp binary, th binary, grams binary")
     checked = _run.cut(sets.repartition("comp").sortWithinPartitions("comp").mapInArrow(_verify(similarity, leaders), "comp binary, th binary, head binary, grams binary"))
     chain = checked.select("th", "head")
-    open_parts = checked.filter(F.col("grams").isNotNull() & (F.length("comp") > 16)).select("comp", "th", "head", "grams")
-    if not open_parts.isEmpty():
+    if not parted.filter("parts > 1").isEmpty():
         # Leaders of all parts of a component, compared again; clusters that they link become one.
+        open_parts = checked.filter(F.col("grams").isNotNull() & (F.length("comp") > 16)).select("comp", "th", "head", "grams")
         again = open_parts.select(F.substring("comp", 1, 16).alias("comp"), "th", "grams").repartition("comp").sortWithinPartitions("comp").mapInArrow(_verify(similarity, 0), "comp binary, th binary, head binary, grams binary").select(F.col("th").alias("lead"), F.col("head").alias("top"))
         joined = open_parts.select("th", "head").join(again, F.col("th") == F.col("lead")).select(F.col("head").alias("a"), F.col("top").alias("b"))
-        merged = components(joined.filter("a != b"))
-        chain = chain.join(merged, chain["head"] == merged["node"], "left").select("th", F.coalesce("label", "head").alias("head"))
+        chain = _run.cut(_merged(chain, joined))
+        # Parts of a component of several clusters, two by two: links of any other members.
+        several = parted.filter("parts > 1").join(chain, "th")
+        several = several.join(several.groupBy("comp").agg(F.min("head").alias("low"), F.max("head").alias("high")).filter("low != high").select("comp"), "comp", "left_semi")
+        several = _run.cut(several.select("th", "comp", "part", "parts", "head"))
+        if not several.isEmpty():
+            texts = df.select(F.unhex(F.md5(_run.utf8(text_column))).alias("th"), F.col(text_column).alias("text")).join(several.select("th"), "th", "left_semi").dropDuplicates(["th"])
+            whole = texts.select(F.col("th").alias("comp"), "th", "text").mapInArrow(_grams, "comp binary, th binary, grams binary").select("th", "grams")
+            pairs = whole.join(several, "th").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("part != other")
+            block = F.concat("comp", F.encode(F.concat_ws("#", F.lit(""), F.least("part", "other"), F.greatest("part", "other")), "utf-8"))
+            met = pairs.select(block.alias("block"), "part", "head", "grams").repartition("block").sortWithinPartitions("block").mapInArrow(_meet(similarity), "a binary, b binary")
+            chain = _merged(chain, met)
     named = marks.join(chain, "th", "left").select("doc_id", "th", F.coalesce("head", "th").alias("class"))
     named = _run.cut(named)
     classes = named.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))

@@ -62,6 +62,43 @@ def test_near_classes(spark, options):
     assert Counter(x[0] for x in got.elements()) == Counter(i for i, _ in data)
 
 
+def star_copies(n):
+    """Copies of an original, which is last in hash order, with four places changed: most pass 0.8 only against it."""
+    r, base = random.Random(11), prose(500, 200).split(" ")
+    base[0] = next(w for w in map(str, range(10**5)) if hashlib.md5(" ".join([w, *base[1:]]).encode()).hexdigest() > "ff")
+    out = [(5000, " ".join(base))]
+    for k in range(n):
+        w = list(base)
+        for at in r.sample(range(10, 190, 8), 4):
+            w[at] = f"new{r.randrange(10**6)}"
+        out.append((5001 + k, " ".join(w)))
+    return out
+
+
+def test_near_parts_meet_whole(spark, monkeypatch):
+    """Components verified in parts are those of brute force; candidate links are given, so that none is left to chance."""
+    data = star_copies(60)
+    df = spark.createDataFrame([(i, t, *["x"] * 14) for i, t in data], SCHEMA)
+    monkeypatch.setattr(simhash, "near_links", lambda vectors, *_, **__: vectors.crossJoin(vectors.agg({"fp": "min"}).toDF("b")).select(vectors["fp"].alias("a"), "b"))
+    got = Counter((r.doc_id, r.class_id, r.class_size) for r in simhash.near_classes(df, verify_rows=30, leaders=1).collect())
+    assert got == Counter(brute_classes(data))
+
+
+def test_cluster_against_search():
+    r = random.Random(6)
+    for _ in range(40):
+        sets = [np.asarray(sorted(r.sample(range(14), r.randint(1, 12))), np.uint64) for _ in range(25)]
+        side, known = [r.randrange(2) for _ in sets], [r.randrange(20) for _ in sets]
+        for s, k in ((None, None), (side, known)):
+            label = list(range(25)) if k is None else [k.index(x) for x in k]
+            for i, j in itertools.combinations(range(25), 2):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if (s is None or s[i] != s[j]) and both >= 0.6 * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                    a, b = sorted((label[i], label[j]))
+                    label = [a if x == b else x for x in label]
+            assert simhash.cluster(sets, 0.6, k, s).tolist() == label
+
+
 def test_near_dedup_keeps_one(spark):
     df = ugly(spark)
     out = simhash.near_dedup(df)
