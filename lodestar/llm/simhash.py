@@ -24,8 +24,9 @@ WORDS, SIMILARITY, RECALL = 5, 0.8, 0.95
 BITS, STRIP, STRIPS = 128, 32, 4
 #: Partial weight on a strip up to which a vector enters a centre's list.
 WEIGHT = 7
-#: Vectors of a list that is compared by brute force; longer ones recurse, and after the last strip are divided.
-LIST_ROWS = 4096
+#: Vectors that one task compares by brute force. Longer lists are compared part against part; those of over DIVIDE
+#: times as many recurse while there are strips, since below that all pairs cost less than a further strip's centres.
+LIST_ROWS, DIVIDE = 4096, 32
 #: Distinct texts of a candidate component that one task verifies at once, and those of a cluster that first stand for
 #: it towards the other parts of a larger component.
 VERIFY_ROWS, LEADERS = 2048, 32
@@ -185,8 +186,19 @@ def _near(radius: int):
     return run
 
 
-def near_links(vectors: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, list_rows: int = LIST_ROWS, seed: int = 5) -> DataFrame:
-    """Links (a, b) between distinct 128-bit vectors (column fp): a set that spans the near pairs found."""
+def _blocks(lists: DataFrame, long: DataFrame, list_rows: int) -> DataFrame:
+    """Lists as they are, but long ones (list, count) as all pairs of their parts, which hold half ``list_rows`` each."""
+    dealt = lists.join(long, "list", "left").withColumn("parts", F.ceil(2 * F.col("count") / list_rows).cast("int")).withColumn("part", F.pmod(F.xxhash64("fp", "list"), "parts"))
+    whole = dealt.filter("parts is null").select("list", "fp")
+    pairs = dealt.filter("parts is not null").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))).filter("part != other")
+    return whole.unionByName(pairs.select(F.xxhash64("list", F.least("part", "other"), F.greatest("part", "other")).alias("list"), "fp"))
+
+
+def near_links(vectors: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, list_rows: int = LIST_ROWS, seed: int = 5, divide: int = DIVIDE) -> DataFrame:
+    """Links (a, b) between distinct 128-bit vectors (column fp): a set that spans the near pairs found.
+
+    All pairs of a list are compared, whatever its length.
+    """
     radius = largest_distance(similarity)
     lists = vectors.select(F.lit(0).cast("long").alias("list"), "fp")
     links = None
@@ -200,15 +212,10 @@ def near_links(vectors: DataFrame, similarity: float = SIMILARITY, recall: float
             long_ones = _run.cut(lists.groupBy("list").count().filter(F.col("count") > list_rows))
             if long_ones.isEmpty():
                 short, long = lists, None
-            elif level == STRIPS - 1:
-                # Vectors alike on every strip: parts of bounded size, and one vector of each part from each.
-                parts = lists.join(long_ones, "list", "left").withColumn("part", F.when(F.col("count").isNotNull(), F.pmod(F.xxhash64("fp", "list"), F.ceil(F.col("count") / list_rows).cast("int"))).otherwise(0))
-                short, long = parts.select(F.xxhash64("list", "part").alias("list"), "fp"), None
-                heads = parts.filter("count is not null").groupBy("list", "part").agg(F.min("fp").alias("fp")).select("list", "fp")
-                short = short.unionByName(heads)
             else:
-                short = lists.join(long_ones, "list", "left_anti")
-                long = lists.join(long_ones.select("list"), "list", "left_semi")
+                further = long_ones.filter(F.col("count") > (list_rows * divide if level < STRIPS - 1 else 1 << 62)).select("list")
+                short = _blocks(lists.join(further, "list", "left_anti"), long_ones, list_rows)
+                long = None if further.isEmpty() else lists.join(further, "list", "left_semi")
         found = short.repartition("list").sortWithinPartitions("list", "fp").mapInArrow(_near(radius), "a binary, b binary")
         links = found if links is None else links.unionByName(found)
         if long is None:

@@ -121,6 +121,31 @@ def test_recall_of_lists():
     assert hits / 300 > 0.84
 
 
+@pytest.mark.parametrize("options", [{"list_rows": 4}, {"list_rows": 1, "divide": 500}])
+def test_long_lists_are_compared_whole(spark, options):
+    """A list in parts gives the classes that it gives in one task."""
+    r = random.Random(7)
+    base = [r.getrandbits(128) for _ in range(3)]
+    near = [base[k % 3] ^ sum(1 << b for b in r.sample(range(128), 12)) for k in range(120)]
+    df = spark.createDataFrame([(bytearray(v.to_bytes(16, "little")),) for v in near], "fp binary")
+
+    def classes(**options):
+        parent = {}
+
+        def root(v):
+            while v in parent:
+                v = parent[v]
+            return v
+
+        for x in simhash.near_links(df, **options).collect():
+            a, b = sorted((root(bytes(x.a)), root(bytes(x.b))))
+            if a != b:
+                parent[b] = a
+        return {v: root(v) for v in (n.to_bytes(16, "little") for n in near)}
+
+    assert classes(**options) == classes()
+
+
 def test_components(spark):
     r = random.Random(2)
     links = [(r.randrange(60), r.randrange(60)) for _ in range(35)] + [(i, i + 1) for i in range(100, 140)]
