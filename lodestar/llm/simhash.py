@@ -27,6 +27,8 @@ WEIGHT = 7
 #: Vectors that one task compares by brute force. Longer lists are compared part against part; those of over DIVIDE
 #: times as many recurse while there are strips, since below that all pairs cost less than a further strip's centres.
 LIST_ROWS, DIVIDE = 4096, 32
+#: Each level's share of the recall (as a power of it), so that their product is the recall at the last level.
+LEVEL_SHARES = (0.4, 0.4, 0.1, 0.1)
 #: Distinct texts of a candidate component that one task verifies at once, and those of a cluster that first stand for
 #: it towards the other parts of a larger component.
 VERIFY_ROWS, LEADERS = 2048, 32
@@ -56,6 +58,11 @@ def centres_for(recall: float, similarity: float, strips: int = 1, weight: int =
     return low
 
 
+def level_centres(recall: float, similarity: float) -> list[int]:
+    """How many centres each level draws, so that a pair that passes all of them keeps this probability to be found."""
+    return [centres_for(recall**share, similarity, STRIPS if level == 0 else 1) for level, share in enumerate(LEVEL_SHARES)]
+
+
 def largest_distance(similarity: float, bits: int = BITS) -> int:
     """The expected distance plus three standard deviations."""
     p = expected_distance(similarity)
@@ -202,9 +209,8 @@ def near_links(vectors: DataFrame, similarity: float = SIMILARITY, recall: float
     radius = largest_distance(similarity)
     lists = vectors.select(F.lit(0).cast("long").alias("list"), "fp")
     links = None
-    for level in range(STRIPS):
-        # The recall of a pair is that of all levels it passes.
-        lists = lists.mapInArrow(_lists(level, centres_for(recall ** (1 / (1 + level)), similarity, STRIPS if level == 0 else 1), seed), "list long, fp binary")
+    for level, centres in enumerate(level_centres(recall, similarity)):
+        lists = lists.mapInArrow(_lists(level, centres, seed), "list long, fp binary")
         if vectors.count() <= list_rows:
             short, long = lists, None
         else:

@@ -121,6 +121,24 @@ def test_recall_of_lists():
     assert hits / 300 > 0.84
 
 
+def test_recall_of_all_levels():
+    """A pair at the expected distance keeps the recall asked for where its lists recurse to the last level."""
+    rng = np.random.default_rng(1)
+    centres = simhash.level_centres(0.95, 0.8)
+    drawn = [[rng.integers(0, 2**32, -(-n // (4 if level == 0 else 1)), dtype=np.uint32) for _ in range(4 if level == 0 else 1)] for level, n in enumerate(centres)]
+    share, hits, trials = simhash.expected_distance(0.8), 0, 1200
+
+    def meet(x, y, z):
+        z = z[np.bitwise_count(x ^ z) <= simhash.WEIGHT]
+        return bool((np.bitwise_count(y ^ z) <= simhash.WEIGHT).any())
+
+    for _ in range(trials):
+        x = rng.integers(0, 2**32, 4, dtype=np.uint32)
+        y = x ^ (rng.random((4, 32)) < share).astype(np.uint32) @ (np.uint32(1) << np.arange(32, dtype=np.uint32))
+        hits += any(meet(x[s], y[s], drawn[0][s]) for s in range(4)) and all(meet(x[k], y[k], drawn[k][0]) for k in (1, 2, 3))
+    assert hits / trials > 0.93
+
+
 @pytest.mark.parametrize("options", [{"list_rows": 4}, {"list_rows": 1, "divide": 500}])
 def test_long_lists_are_compared_whole(spark, options):
     """A list in parts gives the classes that it gives in one task."""
