@@ -100,7 +100,7 @@ def _documents(path: str, hot, kind: pa.DataType):
     """Pass two: for each row one total of what is known in place, and a row for each other distinct pre-token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        specials, known = _specials(path), hot.value
+        specials, (known, known_first) = _specials(path), hot.value
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.slice(at, 1000)
@@ -120,7 +120,7 @@ def _documents(path: str, hot, kind: pa.DataType):
                                 rest.append((" " + c, v))
                             else:
                                 total += p * v
-                        p = known.get("^" + chunks[0]) if chunks[0] else 0
+                        p = known_first.get(chunks[0]) if chunks[0] else 0
                         if p is None:
                             rest.append(("^" + chunks[0], 1))
                         else:
@@ -183,11 +183,13 @@ def token_counts(df: DataFrame, tokenizer_path: str, limit: int = 512, id_column
     order = Window.partitionBy("class").orderBy(F.desc("n"), "key")
     top = counted.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= max(1, hot // CLASSES)).select("key")
     known = top.mapInArrow(_pieces(tokenizer_path), "key string, pieces long").toArrow()
-    # The space before a pre-token is left out, so that a text's parts are looked up as they are split.
-    known = {k[1:] if k[0] == " " else k: v for k, v in zip(known["key"].to_pylist(), known["pieces"].to_pylist(), strict=True) if not k.startswith(" ^")}
+    # Inner and first pre-tokens, without their mark, so that a text's parts are looked up as they are split.
+    inner, first = {}, {}
+    for k, v in zip(known["key"].to_pylist(), known["pieces"].to_pylist(), strict=True):
+        (inner if k[0] == " " else first)[k[1:]] = v
     field = df.select(id_column).schema[0]
     rows = df.select(F.monotonically_increasing_id().alias("rid"), F.col(id_column), F.col(text_column))
-    made = rows.mapInArrow(_documents(tokenizer_path, spark.sparkContext.broadcast(known), to_arrow_type(field.dataType)), f"key string, rid long, n long, doc_id {field.dataType.simpleString()}, n_bytes long")
+    made = rows.mapInArrow(_documents(tokenizer_path, spark.sparkContext.broadcast((inner, first)), to_arrow_type(field.dataType)), f"key string, rid long, n long, doc_id {field.dataType.simpleString()}, n_bytes long")
     met = made.repartition("key").sortWithinPartitions("key").mapInArrow(_joined(tokenizer_path), f"rid long, n long, doc_id {field.dataType.simpleString()}, n_bytes long")
     out = met.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

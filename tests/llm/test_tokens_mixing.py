@@ -30,6 +30,16 @@ def test_token_counts(spark, hot):
     assert all(got[i].n_bytes == len((t or "").encode()) and got[i].over_limit == (want[i] > 512) for i, t in enumerate(texts))
 
 
+@pytest.mark.parametrize("hot", [1 << 18, 1024])
+def test_first_and_inner_pre_tokens(spark, hot):
+    """An inner pre-token that begins with the mark of first ones is not taken for one of these."""
+    texts = ["The end", "2 of them", "see ^The mark", "x ^2 y ^2", "^The ^^The ^", "^2", "^"]
+    df = spark.createDataFrame([(i, t, *["x"] * 14) for i, t in enumerate(texts)], SCHEMA)
+    want = [n for t in texts for n in token_counts.piece_counts(PATH, [t])]
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(df, PATH, hot=hot).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_token_counts_repeats_and_empty(spark):
     got = token_counts.token_counts(ugly(spark), PATH).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows())
