@@ -1,10 +1,10 @@
 """Best-fit packing (operator 3): a configuration linear program over the length histogram.
 
-Pieces are added up in length classes. A configuration says how many pieces of each class one sequence takes; the
-linear program asks for the fewest sequences that cover the histogram. Multiplicative weights price the classes, a
-knapsack dynamic program finds the best configuration at these prices, and its share of the solution grows. The
-fractional solution is rounded down; what is left is solved again, and the last pieces are placed by best fit. All
-this works on the histogram alone, whose size is bounded; pieces then find their sequence by their rank in their class.
+A configuration says how many pieces of each length one sequence takes; the linear program asks for the fewest
+sequences that cover the histogram. Multiplicative weights price the lengths, and a knapsack dynamic program finds
+the configurations that these prices favour: the best one that holds each length. Its part of the solution is rounded to whole sequences,
+and covered lengths lose weight. The last pieces go by best fit. All this works on the histogram alone, whose size is
+bounded; pieces then find their sequence by their rank among those of their length.
 """
 
 from __future__ import annotations
@@ -24,17 +24,36 @@ from pyspark.sql import functions as F
 from . import _run
 
 CAPACITY, EOS = 4096, 1
-#: Lengths are rounded up to a multiple of this for the linear program.
-GRAIN = 1
-#: Pricing steps of one solution, and how often what is left is solved again.
-STEPS, PHASES = 100, 2
-#: Pieces of a class that one task ranks.
+#: Pricing rounds; the part of what its scarcest length has left that a configuration gets; lengths priced at once.
+ROUNDS, SHARE, PRICED = 40, 0.7, 96
+#: Part of the tokens, in the shortest pieces, that the linear program leaves to fill up the last sequences.
+RESERVE = 0.005
+#: Best fit alone is taken where it needs fewer sequences by more than this part.
+WORSE = 1e-4
+#: Pieces of one length that one task ranks.
 RANK_ROWS = 50_000
-#: Chunks whose ids a worker remembers.
-CACHE = 600_000
+#: Words whose ids a worker remembers: so many recent ones, and as many used before those.
+CACHE = 300_000
+
+
+class _Ids(dict):
+    """Ids of lower-case pre-tokens, made by the model when first asked for or taken over from an older cache."""
+
+    def __init__(self, model, older: _Ids | None):
+        super().__init__()
+        self.model, self.older = model, dict(older or {})
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            found = [k.id for k in self.model.tokenize(word if word.isascii() else "".join([_LETTERS[b] for b in word.encode()]))]
+            ids = struct.pack(f"<{len(found)}I", *found)
+        self[word] = ids
+        return ids
+
 
 _tokenizers: dict[str, object] = {}
-_ids: dict[str, dict[str, bytes]] = defaultdict(dict)
+_ids: dict[str, _Ids] = {}
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")  # white space for str.split, not for the tokenizer
 
 
@@ -62,51 +81,42 @@ def _byte_letters() -> list[str]:
 
 _LETTERS = _byte_letters()
 #: Latin letters, digits and ASCII signs but for the apostrophe: normal form, lower case and pre-tokens of these are plain to see.
-_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]+")
-_PART = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-/:-@\[-`{-~\t-\r ]*")
+#: The tokenizer's own pre-tokens, for lower-case texts of these signs.
+_PART = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zà-öø-ÿß]+|[0-9]|[!-/:-@\[-`{-~]+")
 
 
 def encode(path: str, texts: list[str]) -> list[bytes]:
     """Ids of whole texts as little-endian unsigned 32-bit integers.
 
-    For a byte-level tokenizer that lowers case, drops white space and splits at it; each distinct chunk between white
-    space is encoded once and remembered, plain words by the model alone. Texts with special strings, or with
-    separators that only Python splits at, are encoded whole.
+    For a byte-level tokenizer that lowers case, drops white space and splits at it. Of texts of plain signs each distinct
+    pre-token is encoded once, by the model alone, and remembered; other texts are looked at chunk by chunk between white
+    space in the same way, chunks of other signs by the library. Texts with special strings, or with separators that only
+    Python splits at, are encoded whole.
     """
     t, specials = _tokenizer(path)
-    known, parts = _ids[path], _ids[path + "#parts"]
-    if len(known) + len(parts) > CACHE:
-        known.clear()
-        parts.clear()
-    model = t.model
+    known = _ids.get(path)
+    if known is None or len(known) > CACHE:
+        known = _ids[path] = _Ids(t.model, known)
     split, odd = [], []
     for i, x in enumerate(texts):
         if any(s in x for s in specials) or any(c in x for c in _ODD):
             odd.append(i)
             split.append([])
+        elif _PLAIN.fullmatch(x):
+            split.append(_PART.findall(x.lower()))
         else:
-            split.append(x.split())
-
-    def of_model(word: str) -> bytes:
-        if not word.isascii():
-            word = "".join([_LETTERS[b] for b in word.encode()])
-        return struct.pack(f"<{len(ids)}I", *ids) if (ids := [k.id for k in model.tokenize(word)]) else b""
-
-    missing = []
-    for c in set().union(*split).difference(known):
-        if _PLAIN.fullmatch(c):
-            made = []
-            for part in _PART.findall(c.lower()):
-                ids = parts.get(part)
-                if ids is None:
-                    ids = parts[part] = of_model(part)
-                made.append(ids)
-            known[c] = made[0] if len(made) == 1 else b"".join(made)
-        else:
-            missing.append(c)
-    for c, e in zip(missing, t.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-        known[c] = np.asarray(e.ids, "<u4").tobytes()
-    out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+            parts = []
+            for chunk in x.split():
+                if _PLAIN.fullmatch(chunk):
+                    parts += _PART.findall(chunk.lower())
+                else:
+                    parts.append(" " + chunk)  # told by its space
+            split.append(parts)
+            foreign = [w for w in set(parts).difference(known) if w[0] == " "]
+            for word, e in zip(foreign, t.encode_batch_fast([w[1:] for w in foreign], add_special_tokens=False), strict=True):
+                known[word] = np.asarray(e.ids, "<u4").tobytes()
+    out = [b"".join(map(known.__getitem__, parts)) for parts in split]
     for i, e in zip(odd, t.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False), strict=True):
         out[i] = np.asarray(e.ids, "<u4").tobytes()
     return out
@@ -146,78 +156,88 @@ def tokenized(df: DataFrame, tokenizer_path: str, id_column: str = "doc_id", tex
     return df.select(F.col(id_column), F.col(text_column)).mapInArrow(run, f"doc_id {field.dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def knapsack(value: np.ndarray, size: int) -> list[int]:
-    """The classes, with repeats, of total class number at most ``size`` and of the largest total value.
+def knapsack(value: np.ndarray, most: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths and amounts of the items, which item is taken at which room) of the largest total value in each room.
 
-    ``value[k]`` is that of one piece of class k; classes of value 0 are not used.
+    ``value[k]`` is that of one piece of length k, of which there are ``most[k]``; an item is 1, 2, 4, … of them.
     """
-    use = np.flatnonzero(value > 0)
-    best, take = np.zeros(size + 1), np.zeros(size + 1, np.int64)
-    v = value[use]
-    for c in range(1, size + 1):
-        m = int(np.searchsorted(use, c, "right"))
-        if m:
-            total = best[c - use[:m]] + v[:m]
-            j = int(total.argmax())
-            if total[j] > best[c - 1]:
-                best[c], take[c] = total[j], use[j]
-                continue
-        best[c] = best[c - 1]
-    out, c = [], size
-    while c > 0:
-        if take[c]:
-            out.append(int(take[c]))
-            c -= int(take[c])
-        else:
-            c -= 1
+    items = []
+    for k in np.flatnonzero((value > 0) & (most > 0))[::-1].tolist():
+        left, a = min(int(most[k]), size // k), 1
+        while left > 0:
+            items.append((k, min(a, left)))
+            left, a = left - a, 2 * a
+    best, keep = np.zeros(size + 1), np.zeros((len(items), size + 1), bool)
+    for i, (k, a) in enumerate(items):
+        w = k * a
+        got = best[: size + 1 - w] + value[k] * a
+        keep[i, w:] = got > best[w:]
+        np.maximum(best[w:], got, out=best[w:])
+    return np.asarray(items, np.int64).reshape(-1, 2), keep
+
+
+def _filled(items: np.ndarray, keep: np.ndarray, first: np.ndarray, size: int) -> list[dict[int, int]]:
+    """The best configuration that holds a piece of each of the lengths ``first``."""
+    room = size - first
+    out: list[dict[int, int]] = [{int(k): 1} for k in first]
+    for i in range(len(items) - 1, -1, -1):
+        took = np.flatnonzero(keep[i, room])
+        if len(took):
+            k, a = items[i].tolist()
+            room[took] -= k * a
+            for t in took.tolist():
+                out[t][k] = out[t].get(k, 0) + a
     return out
 
 
-def solve(counts: np.ndarray, size: int, steps: int = STEPS, phases: int = PHASES) -> list[tuple[int, dict[int, int]]]:
-    """(how many sequences, pieces of each class in one) so that every piece of the histogram has a place.
+def solve(counts: np.ndarray, size: int, rounds: int = ROUNDS, share: float = SHARE, reserve: float = RESERVE) -> tuple[list[tuple[int, dict[int, int]]], float]:
+    """(how many sequences, pieces of each length in one) so that every piece of the histogram has a place; and the
+    share of the pieces that the linear program placed.
 
-    ``counts[k]`` pieces of class k, for classes 0 (unused) to ``size``.
+    ``counts[k]`` pieces of length k, for lengths 0 (unused) to ``size``. Each round prices a length by its tokens times
+    exp(-4 covered) and asks the knapsack for the best configuration of each length that is still open, in seeded parts
+    of about ``PRICED`` lengths, so that not all want the same filling. A full configuration gets ``share`` of what its
+    scarcest length has left, rounded down to whole sequences but at least one, so that none claims a piece twice; others
+    wait for the next round. What is left, with the shortest pieces (``reserve`` of all tokens), goes by best fit. Where
+    best fit alone needs clearly fewer sequences (``WORSE``) its plan is taken, and the share is 0.
     """
-    left = counts.astype(np.int64).copy()
+    tokens = counts * np.arange(size + 1)
+    small = int(np.searchsorted(np.cumsum(tokens), reserve * float(tokens.sum())))
+    need, left = np.maximum(counts, 1), counts.astype(np.int64).copy()
+    draw = np.random.default_rng(0)
     out: list[tuple[int, dict[int, int]]] = []
-    for _ in range(phases):
-        if left.sum() <= 8 * np.count_nonzero(left) or not left.any():
-            break
-        need = np.maximum(left, 1).astype(float)
-        cover = np.zeros(size + 1)
-        share: dict[tuple[tuple[int, int], ...], float] = defaultdict(float)
-        price = np.where(left > 0, np.arange(size + 1) / size, 0.0)
-        for _ in range(steps):
-            chosen = knapsack(price * np.exp(-4.0 * cover), size)
-            if not chosen:
-                break
-            k, a = np.unique(chosen, return_counts=True)
-            # A step covers a quarter of what its scarcest class needs.
-            step = 0.25 * float((need[k] / a).min())
-            share[tuple(zip(k.tolist(), a.tolist(), strict=True))] += step
-            cover[k] += a * step / need[k]
-            if cover[left > 0].min() >= 1:
-                break
-        # Rounding: largest shares first, never more than is left.
-        scale = 1 / max(1.0, float(np.quantile(cover[left > 0], 0.9)))
-        for config, x in sorted(share.items(), key=lambda s: -s[1]):
-            times = min(int(x * scale), *(int(left[k]) // a for k, a in config))
-            if times > 0:
-                out.append((times, dict(config)))
-                for k, a in config:
-                    left[k] -= times * a
-    return out + best_fit(left, size)
-
-
-def best_fit(counts: np.ndarray, size: int) -> list[tuple[int, dict[int, int]]]:
-    """Best-fit decreasing on a histogram; sequences with equal contents are one entry."""
-    bins: dict[tuple[tuple[int, int], ...], int] = {(): 0}
+    for _ in range(rounds):
+        some = draw.permutation(small + np.flatnonzero(left[small:]))
+        for part in np.array_split(some, max(1, round(len(some) / PRICED))):
+            mine = np.zeros(size + 1, np.int64)
+            mine[part] = left[part]
+            items, keep = knapsack(np.arange(size + 1) * np.exp(4 * (left / need - 1)), mine, size)
+            for config in _filled(items, keep, part, size):
+                times = min(int(left[k]) // a for k, a in config.items())
+                if times > 0 and sum(k * a for k, a in config.items()) == size:
+                    times = max(1, int(share * times))
+                    out.append((times, config))
+                    for k, a in config.items():
+                        left[k] -= times * a
+    placed = 1 - left.sum() / max(1, counts.sum())
+    out = best_fit(left, size, out)
+    plain = best_fit(counts, size)
+    if sum(n for n, _ in plain) < (1 - WORSE) * sum(n for n, _ in out):
+        return plain, 0.0
+    return out, float(placed)
+
+
+def best_fit(counts: np.ndarray, size: int, begun: list[tuple[int, dict[int, int]]] = ()) -> list[tuple[int, dict[int, int]]]:
+    """Best-fit decreasing of a histogram into the sequences begun and new ones; those with equal contents are one entry."""
     room: dict[int, dict[tuple[tuple[int, int], ...], int]] = defaultdict(dict)
+    for n, config in begun:
+        r, key = size - sum(k * a for k, a in config.items()), tuple(sorted(config.items(), reverse=True))
+        room[r][key] = room[r].get(key, 0) + n
     for k in np.flatnonzero(counts)[::-1].tolist():
         n = int(counts[k])
         while n:
             fits = [r for r in room if r >= k and room[r]]
-            if not fits:  # open so many sequences as the class fills alone
+            if not fits:  # open so many sequences as the length fills alone
                 per = size // k
                 if n >= per:
                     full, config = n // per, ((k, per),)
@@ -234,15 +254,14 @@ def best_fit(counts: np.ndarray, size: int) -> list[tuple[int, dict[int, int]]]:
                 del room[r][config]
             else:
                 room[r][config] = have - times
-            new = (*config[:-1], (k, config[-1][1] + 1)) if config and config[-1][0] == k else (*config, (k, 1))
+            new = tuple(sorted((dict(config) | {k: dict(config).get(k, 0) + 1}).items(), reverse=True))
             room[r - k][new] = room[r - k].get(new, 0) + times
             n -= times
-    del bins
     return [(n, dict(c)) for r in room.values() for c, n in r.items() if n]
 
 
 def _runs(plan: list[tuple[int, dict[int, int]]]) -> dict[int, tuple[np.ndarray, ...]]:
-    """For each class, runs of ranks: first rank, first sequence, pieces of the class in one sequence, slot of the first."""
+    """For each length, runs of ranks: first rank, first sequence, pieces of the length in one sequence, slot of the first."""
     at: dict[int, int] = defaultdict(int)
     rows = defaultdict(list)
     sequence = 0
@@ -256,35 +275,36 @@ def _runs(plan: list[tuple[int, dict[int, int]]]) -> dict[int, tuple[np.ndarray,
     return {k: tuple(np.asarray(c, np.int64) for c in zip(*v, strict=True)) for k, v in rows.items()}
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN, rank_rows: int = RANK_ROWS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, rank_rows: int = RANK_ROWS) -> DataFrame:
     """``pieces`` (column ``length``, 1 to capacity; any others) with sequence_id and offset, gapless from 0.
 
-    Ranks in a length class come from counts of hash classes, so that a frequent length is numbered by many tasks.
-    Rows alike in all columns are rows of their own. An empty table gives no rows.
+    Pieces are numbered among those of their length by their place in the checkpoint, in classes of about ``rank_rows``,
+    so neither a frequent length nor rows alike in all columns meet in one task. An empty table gives no rows.
     """
     spark = pieces.sparkSession
-    size = capacity // grain
     names = [c for c in pieces.columns if c != "length"]
-    w = _run.cut(pieces.select(F.struct(*names).alias("rest"), "length", F.ceil(F.col("length") / grain).cast("int").alias("class")))
-    histogram = w.groupBy("class").count().collect()  # at most capacity / grain rows
-    counts = np.zeros(size + 1, np.int64)
+    w = _run.cut(pieces.select(F.struct(*names).alias("rest"), F.col("length").cast("long").alias("length")))
+    histogram = w.groupBy("length").count().collect()  # at most capacity rows
+    counts = np.zeros(capacity + 1, np.int64)
     for r in histogram:
-        counts[r["class"]] = r["count"]
-    plan = spark.sparkContext.broadcast(_runs(solve(counts, size)))  # bounded by steps × phases × pieces of a sequence
+        counts[r["length"]] = r["count"]
+    # Bounded by lengths x rounds x phases, whatever the number of pieces.
+    plan = spark.sparkContext.broadcast(_runs(solve(counts, capacity)[0]))
     salts = {k: -(-int(n) // rank_rows) for k, n in enumerate(counts) if n > rank_rows}
     many = F.lit(1)
     for n in sorted(set(salts.values())):
-        many = F.when(F.col("class").isin(*(k for k, v in salts.items() if v == n)), F.lit(n)).otherwise(many)
-    w = w.withColumn("salt", F.pmod(F.xxhash64("rest", "length"), many).cast("int"))
-    # As many rows as classes and their salts.
-    sums = w.groupBy("class", "salt").count().withColumn("base", F.coalesce(F.sum("count").over(Window.partitionBy("class").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    order = Window.partitionBy("class", "salt").orderBy(F.xxhash64("rest"), "length")
-    ranked = w.withColumn("at", F.row_number().over(order) - 1).join(F.broadcast(sums), ["class", "salt"]).select("rest", "length", "class", (F.col("base") + F.col("at")).alias("rank"))
+        many = F.when(F.col("length").isin(*(k for k, v in salts.items() if v == n)), F.lit(n)).otherwise(many)
+    # Checkpointed rows keep their order, so a retried task numbers alike.
+    w = w.withColumn("uid", F.monotonically_increasing_id()).withColumn("salt", F.pmod(F.xxhash64("uid"), many).cast("int"))
+    # As many rows as lengths and their salts; dealt like the numbered rows.
+    sums = w.groupBy("length", "salt").count().withColumn("base", F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
+    order = Window.partitionBy("length", "salt").orderBy("uid")
+    ranked = w.withColumn("at", F.row_number().over(order) - 1).join(sums, ["length", "salt"]).select("rest", "length", (F.col("base") + F.col("at")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = plan.value
         for batch in batches:
-            kinds, rank = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            kinds, rank = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             sequence, slot = np.zeros(len(kinds), np.int64), np.zeros(len(kinds), np.int64)
             for k in np.unique(kinds):
                 mine = kinds == k

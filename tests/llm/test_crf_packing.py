@@ -82,9 +82,12 @@ def test_knapsack_by_enumeration():
         size = 9
         v = np.where(rng.random(size + 1) < 0.6, rng.random(size + 1), 0)
         v[0] = 0
-        best = max((sum(v[k] for k in c) for m in range(size + 1) for c in itertools.combinations_with_replacement(range(1, size + 1), m) if sum(c) <= size), default=0)
-        chosen = packing.knapsack(v, size)
-        assert sum(chosen) <= size and sum(v[k] for k in chosen) == pytest.approx(best)
+        most = rng.integers(0, 4, size + 1)
+        first = int(rng.integers(1, size + 1))
+        best = max((sum(v[k] for k in c) for m in range(size + 1) for c in itertools.combinations_with_replacement(range(1, size + 1), m) if sum(c) <= size - first and all(c.count(k) <= most[k] for k in c)), default=0)
+        (chosen,) = packing._filled(*packing.knapsack(v, most, size), np.asarray([first]), size)
+        chosen[first] -= 1
+        assert sum(k * n for k, n in chosen.items()) <= size - first and sum(v[k] * n for k, n in chosen.items()) == pytest.approx(best)
 
 
 @pytest.mark.parametrize("counts", [{5: 3}, {6: 40, 4: 40, 3: 7, 10: 2}, {7: 500, 3: 500, 2: 300, 9: 10, 1: 90}, {}])
@@ -93,7 +96,7 @@ def test_solve_places_all(counts):
     for k, n in counts.items():
         c[k] = n
     got = np.zeros(11, np.int64)
-    plan = packing.solve(c, 10)
+    plan, _ = packing.solve(c, 10)
     for times, config in plan:
         assert sum(k * n for k, n in config.items()) <= 10
         for k, n in config.items():
@@ -103,6 +106,16 @@ def test_solve_places_all(counts):
     assert sum(t for t, _ in plan) <= max(bound * 1.15 + 1, c[6:].sum())
 
 
+@pytest.mark.parametrize("n", [10_000, 300_000])
+def test_the_program_places_most(n):
+    """Most pieces go by the linear program, in as many sequences as best fit needs or hardly more."""
+    lengths = np.minimum(np.random.default_rng(3).lognormal(6.3, 1.1, n).astype(int) + 1, 4096)
+    c = np.bincount(lengths, minlength=4097)
+    plan, placed = packing.solve(c, 4096)
+    assert placed > 0.6
+    assert sum(t for t, _ in plan) <= 1.0001 * sum(t for t, _ in packing.best_fit(c, 4096)) + 1
+
+
 @pytest.mark.parametrize("rank_rows", [50_000, 2])
 def test_pack_round_trip(spark, rank_rows):
     from tokenizers import Tokenizer
