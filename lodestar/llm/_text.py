@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: A block of texts that the kernels take at once; a longer text is a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -25,7 +25,7 @@ def powers(base: int, n: int) -> np.ndarray:
     key = str(base)
     have = _powers.get(key)
     if have is None or len(have) < n:
-        size = max(n, BLOCK_BYTES + (64 << 10))
+        size = max(n + n // 8, 64 << 10)
         out = np.empty(size, np.uint64)
         out[0], done, step = 1, 1, base
         while done < size:  # doubling

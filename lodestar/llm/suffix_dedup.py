@@ -1,10 +1,12 @@
 """Suffix-array dedup (operator 6): a logarithmic family of indexes finds every repeated 400-byte string.
 
-Only suffixes at content-defined places are indexed: of the hashes of all 120-byte strings inside a 400-byte window the
-smallest marks its place, so equal windows mark the same place in them, and each window belongs to one marked suffix.
-An index holds, in the order of the suffixes' first bytes (by hash, since only equality counts), how often each suffix
-occurs with each context, the context being the bytes of all windows that belong to it. A new batch of documents gets
-such an index; indexes of equal size merge, so that there are logarithmically many; a scan meets each of them.
+The suffix arrays are sparse: only suffixes at content-defined places are kept. Of the hashes of all 120-byte strings
+inside a 400-byte window the smallest marks its place, so equal windows mark the same place in them, and each window
+belongs to one marked suffix. An index is a sorted run of suffixes, by their first 8 bytes and then by the hash of their
+first 120, with how often each occurs in each context, the context being the bytes of all windows that belong to it.
+
+Documents come in batches. A new batch is sorted into a run of its own, merge-scanned against every level that exists
+for suffixes that both hold, and added as a level; levels of equal size merge, so that there are logarithmically many.
 
 Suffixes with a context that occurs twice lie wholly in repeats. Where a suffix occurs in different contexts, its
 windows are compared one by one. Strings are told apart by two independent 64-bit hashes (of the suffix and of the window).
@@ -24,22 +26,26 @@ from . import _run
 from . import _text as T
 
 LENGTH, PREFIX = 400, 120
-BATCHES = 2
-#: A longer text is hashed in segments that overlap by a window.
-SEGMENT = 8 << 20
+#: Batches in which ``repeats`` takes its documents; at the end levels of two batches and of one are there.
+BATCHES = 3
+#: Texts are hashed in blocks of this size; a longer one in segments that overlap by a window.
+SEGMENT = 512 << 10
 #: Distinct contexts of a suffix that one task compares; those of a more frequent one are counted by exchange.
 CONTEXTS = 8192
-#: Bits of the filter that spares the exchange texts without a match. It is bounded; more documents only fill it.
-FILTER_BITS = 1 << 23
+#: Bits for each entry of the filters that spare the exchanges rows without a match, and at most in all (8 MB).
+ENTRY_BITS, FILTER_BITS = 16, 1 << 26
 
 _WINDOW_BASE = 0xC2B2AE3D27D4EB4F | 1
 _PLACE = np.uint64((1 << 24) - 1)
 
 
 def suffixes(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, prefix: int = PREFIX) -> tuple[np.ndarray, ...]:
-    """(text, first window, last window, place, suffix hash, context hash) of the marked suffixes of a block."""
+    """(text, first window, last window, place, lead, suffix hash, context hash) of the marked suffixes of a block.
+
+    The lead is the suffix's first 8 bytes, as a signed number of the same order.
+    """
     w, n = length - prefix + 1, len(data)
-    none = (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64),) * 2
+    none = (np.empty(0, np.int64),) * 5 + (np.empty(0, np.uint64),) * 2
     if n < length:
         return none
     grams = T.Hasher(data).of(np.arange(n - prefix + 1), np.arange(prefix, n + 1))
@@ -69,12 +75,13 @@ def suffixes(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, prefix
     s, e = at[first], at[last]
     p = place[s]
     context = T.mix(T.Hasher(data, _WINDOW_BASE).of(s, e + length) + (p - s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return text[first], s, e, p, grams[p], context
+    lead = data[p[:, None] + np.arange(8)].view(">u8").ravel().astype(np.uint64) if prefix >= 8 else p.astype(np.uint64)
+    return text[first], s, e, p, (lead ^ np.uint64(1 << 63)).view(np.int64), grams[p], context
 
 
 def _segments(texts: pa.Array, length: int, segment: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
     """(first row, row behind the last, bytes, offsets, where in the text the bytes begin)."""
-    for begin, stop, data, offsets in T.blocks(texts, min(T.BLOCK_BYTES, segment)):
+    for begin, stop, data, offsets in T.blocks(texts, segment):
         if len(data) <= segment + length:
             yield begin, stop, data, offsets, 0
         else:  # one long text
@@ -84,18 +91,18 @@ def _segments(texts: pa.Array, length: int, segment: int) -> Iterator[tuple[int,
 
 
 def marked(df: DataFrame, length: int = LENGTH, prefix: int = PREFIX, segment: int = SEGMENT) -> DataFrame:
-    """(key, text) → (a, c, key, at) for each marked suffix; ``at`` packs the first window, how many follow it, and the place."""
+    """(key, text) → (lead, a, c, key, at) for each marked suffix; ``at`` packs the first window, how many follow it, and the place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
                 for begin, _, data, offsets, base in _segments(batch.column(1), length, segment):
-                    text, s, e, p, a, c = suffixes(data, offsets, length, prefix)
+                    text, s, e, p, lead, a, c = suffixes(data, offsets, length, prefix)
                     at = ((s - offsets[text] + base) << 32) | ((e - s) << 16) | (p - s)
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), batch.column(0).take(pa.array(text + begin)), pa.array(at)], names=["a", "c", "key", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(lead), pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), batch.column(0).take(pa.array(text + begin)), pa.array(at)], names=["lead", "a", "c", "key", "at"])
 
     kind = df.select("key").schema[0].dataType.simpleString()
-    return df.select("key", "text").mapInArrow(run, f"a long, c long, key {kind}, at long")
+    return df.select("key", "text").mapInArrow(run, f"lead long, a long, c long, key {kind}, at long")
 
 
 def _unpacked(at: str = "at"):
@@ -104,40 +111,60 @@ def _unpacked(at: str = "at"):
     return s.alias("s"), (s + F.shiftright(at, 16).bitwiseAND(F.lit(0xFFFF))).alias("e"), (s + F.col(at).bitwiseAND(F.lit(0xFFFF))).alias("p")
 
 
+Table = tuple[DataFrame, Callable[[], None]]
+
+
 class IndexFamily:
-    """Indexes (a, c, n): suffix, context, occurrences, kept in the order of their suffixes; sizes are powers of two batches."""
+    """Sorted runs (lead, a, c, n): suffix, context, occurrences. ``levels`` has one of each size, in batches: a power of two.
+
+    ``found`` holds the suffixes that a scan met: those of a batch that an earlier level or the batch itself repeats.
+    """
 
     def __init__(self) -> None:
-        self.levels: dict[int, tuple[DataFrame, Callable[[], None]]] = {}
+        self.levels: dict[int, Table] = {}
+        self.found: list[Table] = []
 
     @staticmethod
-    def _index(rows: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
-        return _run.stored(rows.groupBy("a", "c").agg(F.sum("n").alias("n")).sortWithinPartitions("a", "c"))
+    def _run(rows: DataFrame) -> Table:
+        return _run.stored(rows.groupBy("lead", "a", "c").agg(F.sum("n").alias("n")).sortWithinPartitions("lead", "a", "c"))
 
     def add(self, suffix_rows: DataFrame) -> None:
-        """A new batch; while a level of its size exists the two merge."""
-        (new, drop_new), size = self._index(suffix_rows.select("a", "c", F.lit(1).cast("long").alias("n"))), 1
+        """A new batch: sort it, scan it against each level, then merge it with levels of its size."""
+        (new, drop_new), size = self._run(suffix_rows.select("lead", "a", "c", F.lit(1).cast("long").alias("n"))), 1
+        own = new.groupBy("lead", "a").agg(F.sum("n").alias("n"))
+        met = own.filter("n > 1").select("lead", "a")
+        for level, _ in self.levels.values():
+            # Both runs are sorted by suffix; the join merges them and only asks whether there is a partner.
+            met = met.unionByName(own.select("lead", "a").join(level.select("lead", "a").distinct(), ["lead", "a"], "left_semi"))
+        self.found.append(_run.stored(met.distinct()))
         while size in self.levels:
             old, drop_old = self.levels.pop(size)
-            merged = self._index(new.unionByName(old))
+            merged = self._run(new.unionByName(old))
             drop_new()
             drop_old()
             (new, drop_new), size = merged, 2 * size
         self.levels[size] = new, drop_new
 
-    def scan(self) -> tuple[DataFrame, DataFrame]:
-        """All levels together: (a, c, n), and (a, contexts) of the suffixes that occur at least twice."""
+    def repeated(self) -> DataFrame:
+        """(a) of the suffixes that occur at least twice in all batches."""
+        out = None
+        for found, _ in self.found:
+            out = found if out is None else out.unionByName(found)
+        return out.select("a").distinct()
+
+    def entries(self, keep) -> DataFrame:
+        """(a, c, n) of all levels together, of the suffixes that ``keep`` lets pass."""
         rows = None
         for level, _ in self.levels.values():
-            rows = level if rows is None else rows.unionByName(level)
-        rows = rows if len(self.levels) == 1 else rows.groupBy("a", "c").agg(F.sum("n").alias("n"))
-        often = rows.groupBy("a").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("contexts")).filter("all > 1").select("a", "contexts")
-        return rows, often
+            some = level.select("a", "c", "n").mapInArrow(keep, "a long, c long, n long")
+            rows = some if rows is None else rows.unionByName(some)
+        return rows.groupBy("a", "c").agg(F.sum("n").alias("n"))
 
     def drop(self) -> None:
-        for _, drop in self.levels.values():
+        for _, drop in [*self.levels.values(), *self.found]:
             drop()
         self.levels.clear()
+        self.found.clear()
 
 
 def _window_hashes(length: int):
@@ -149,15 +176,15 @@ def _window_hashes(length: int):
                 out: list[list] = [[], [], [], [], [], []]
                 for key, text, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                     data = np.frombuffer(text.as_buffer(), np.uint8)
-                    h = T.Hasher(data, _WINDOW_BASE)
                     for x in asked:
-                        at = np.arange(x["s"], x["e"] + 1)
+                        # Only the bytes of this context are hashed, whatever the length of the text.
+                        h, at = T.Hasher(data[x["s"] : x["e"] + length], _WINDOW_BASE), np.arange(x["e"] - x["s"] + 1)
                         # A window is told by its suffix, its place to it and its bytes.
-                        told = T.mix(np.uint64(x["a"] & (2**64 - 1)) + (at - x["p"] + length).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                        told = T.mix(np.uint64(x["a"] & (2**64 - 1)) + (at + (x["s"] - x["p"] + length)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                         hashes = T.mix(h.of(at, at + length) ^ told)
                         for col, v in zip(out, (x["a"], x["n"], key, x["p"], x["s"] - x["p"], hashes.tobytes()), strict=True):
                             col.append(v)
-                    if len(out[0]) > 2000:
+                    if len(out[0]) > 500:
                         yield _windows_batch(out)
                         out = [[], [], [], [], [], []]
                 yield _windows_batch(out)
@@ -235,56 +262,66 @@ def _compare_frequent(rows: DataFrame) -> DataFrame:
     return one.filter("n = 1").join(often, "h").select("key", F.col("at").alias("lo"), F.col("at").alias("hi"))
 
 
-def _filter(hashes: DataFrame, bits: int = FILTER_BITS):
-    """A Bloom filter of a column of hashes: what keeps the batches' rows whose first column it may hold."""
+def _filter(hashes: DataFrame, column: str):
+    """A filter of a column of hashes, read twice: what keeps the batches' rows whose first column it may hold.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(bits, bool)
-        for batch in batches:
-            found[batch.column(0).to_numpy() % bits] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(found).tobytes()], pa.binary())], names=["bits"])
-
-    total = np.zeros(bits // 8, np.uint8)
-    for r in hashes.coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
-        total |= np.frombuffer(r["bits"], np.uint8)
-    known = hashes.sparkSession.sparkContext.broadcast(total)
+    Its size follows the number of entries up to a bound; beyond it more rows pass, which costs time alone. Words of 64
+    bits are put together by a partial aggregate, so neither side of the exchange grows with the entries.
+    """
+    h = F.col(column)
+    bits = 1 << 16
+    while bits < min(FILTER_BITS, ENTRY_BITS * hashes.count()):
+        bits *= 2
+    words = hashes.groupBy(F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(bits // 64 - 1)).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({column} & 63 as int))")).alias("b")).toArrow()
+    table = np.zeros(bits // 64, np.int64)
+    table[words["w"].to_numpy()] = words["b"].to_numpy()
+    known = hashes.sparkSession.sparkContext.broadcast(table.tobytes())
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(known.value).astype(bool)
+        held = np.frombuffer(known.value, np.uint64)
         for batch in batches:
-            yield batch.filter(pa.array(table[batch.column(0).to_numpy() % bits]))
+            x = batch.column(0).to_numpy().view(np.uint64)
+            at = (x >> np.uint64(6)) & np.uint64(bits // 64 - 1)
+            yield batch.filter(pa.array((held[at] >> (x & np.uint64(63))) & np.uint64(1) == 1))
 
     return keep
 
 
 def _key(id_column: str, text_column: str):
-    """128 bits for a row's id and text; rows alike in both are interchangeable here."""
-    return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_column).cast("string"), F.lit("null")).cast("binary"), F.lit(":").cast("binary"), _run.utf8(text_column))))
+    """128 bits for a row's id (a null one apart from any other) and text; rows alike in both are interchangeable here."""
+    told = F.when(F.col(id_column).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(id_column).cast("string")))
+    return F.unhex(F.md5(F.concat(F.unhex(F.md5(F.encode(told, "utf-8"))), _run.utf8(text_column))))
 
 
 def repeats(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, prefix: int = PREFIX, n_batches: int = BATCHES, contexts: int = CONTEXTS, segment: int = SEGMENT) -> DataFrame:
-    """(key, spans) of the rows in which something repeats: the id and MD5 of the text, and sorted [start, end) bytes."""
+    """(key, spans) of the rows in which something repeats: 128 bits of id and text, and sorted [start, end) bytes.
+
+    Rows alike in id and text have one key, and spans of all of them. The table lies in the shared folder.
+    """
     docs = df.select(_key(id_column, text_column).alias("key"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     rows, drop_rows = _run.stored(marked(docs, length, prefix, segment))
     family = IndexFamily()
     for b in range(n_batches):
         family.add(rows.filter(F.pmod(F.xxhash64("key"), F.lit(n_batches)) == b))
-    index, often = family.scan()
-    often, drop_often = _run.stored(often)
-    keep = _filter(often.select("a"))
-    entries = index.select("a", "c", "n").mapInArrow(keep, "a long, c long, n long").join(often, "a")
-    some = rows.mapInArrow(keep, "a long, c long, key binary, at long")
-    hits, drop_hits = _run.stored(some.join(entries, ["a", "c"]))
+    often, drop_often = _run.stored(family.repeated())
+    keep = _filter(often, "a")
+    entries, drop_entries = _run.stored(family.entries(keep).join(often, "a"))
     family.drop()
-    drop_rows()
     drop_often()
+    contexts_of, drop_contexts = _run.stored(entries.groupBy("a").agg(F.count(F.lit(1)).alias("contexts")))
+    entries = entries.join(contexts_of, "a")
+    some = rows.select("a", "c", "key", "at").mapInArrow(keep, "a long, c long, key binary, at long")
+    hits, drop_hits = _run.stored(some.join(entries, ["a", "c"]))
+    drop_rows()
+    drop_entries()
+    drop_contexts()
     s, e, p = _unpacked()
     whole = hits.filter("n > 1").select("key", s.alias("start"), (e + length).alias("end"))
     # One place of each context of a suffix that has several.
     chosen = hits.filter("contexts > 1").groupBy("a", "c").agg(F.min(F.struct("key", "at")).alias("w"), F.max("n").alias("n"), F.max("contexts").alias("contexts"))
     chosen = _run.cut(chosen.select("a", "c", "n", "contexts", "w.key", "w.at"))
     asked = chosen.select("key", F.struct(s, e, p, "a", "n").alias("x")).groupBy("key").agg(F.collect_list("x").alias("asked"))
-    keep_texts = _filter(chosen.select(F.xxhash64("key").alias("h")))
+    keep_texts = _filter(chosen.select(F.xxhash64("key").alias("h")), "h")
     told = docs.select(F.xxhash64("key").alias("h"), "key", "text").mapInArrow(keep_texts, "h long, key binary, text string").drop("h")
     told = told.dropDuplicates(["key"]).join(asked, "key").select("key", "text", "asked")
     windows = told.mapInArrow(_window_hashes(length), WINDOWS)
@@ -328,7 +365,7 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text_column: str =
     spans = repeats(df, id_column, text_column, **options)
     field = df.select(id_column).schema[0]
     kind, sql_kind = to_arrow_type(field.dataType), field.dataType.simpleString()
-    keep = _filter(spans.select(F.xxhash64("key").alias("h")))
+    keep = _filter(spans.select(F.xxhash64("key").alias("h")), "h")
     docs = df.select(F.xxhash64(_key(id_column, text_column)).alias("h"), _key(id_column, text_column).alias("key"), F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
 
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -199,7 +199,7 @@ def shared_passages():
     return [*out, (3000, "ab" * 300), (3001, "x" * 99), (3002, "x" * 100), (3003, "abc" * 40), (3004, "é" * 80)]
 
 
-@pytest.mark.parametrize("options", [{"n_batches": 4}, {"n_batches": 3}, {"n_batches": 1, "segment": 150}, {"n_batches": 2, "contexts": 1}])
+@pytest.mark.parametrize("options", [{"n_batches": 5}, {"n_batches": 1, "segment": 150}, {"n_batches": 2, "contexts": 1}])
 def test_repeats(spark, options):
     """Levels of one and several sizes, texts in many segments, and suffixes counted by exchange."""
     data = [x for x in rows() if len(x[1] or "") < 20_000] + shared_passages()
@@ -217,8 +217,23 @@ def test_repeats_empty(spark):
 
 def test_levels_are_logarithmic(spark):
     family = suffix_dedup.IndexFamily()
-    one = spark.createDataFrame([(1, 2), (1, 3)], "a long, c long")
-    for _ in range(5):
-        family.add(one)
+    schema = "lead long, a long, c long"
+    one = spark.createDataFrame([(0, 1, 2), (0, 1, 3)], schema)
+    for i in range(5):
+        family.add(one.union(spark.createDataFrame([(5, 10 + i, 7)], schema)))
     assert sorted(family.levels) == [1, 4]
-    assert {(r.c, r.n) for r in family.scan()[0].collect()} == {(2, 5), (3, 5)}
+    everything = family.entries(lambda batches: batches).collect()
+    assert {(r.c, r.n) for r in everything if r.a == 1} == {(2, 5), (3, 5)}
+    assert [r.a for r in family.repeated().collect()] == [1]
+    family.drop()
+
+
+def test_a_scan_meets_earlier_levels(spark):
+    """A suffix that only an older, larger level holds is found when a new batch brings it again."""
+    family, schema = suffix_dedup.IndexFamily(), "lead long, a long, c long"
+    for a in (1, 2, 3, 2):
+        family.add(spark.createDataFrame([(a, a, len(family.found))], schema))
+    assert sorted(family.levels) == [4]
+    assert [r.a for r in family.repeated().collect()] == [2]
+    assert family.levels[4][0].count() == 4
+    family.drop()
