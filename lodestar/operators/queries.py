@@ -1,111 +1,627 @@
-"""Retrieval operators as queries over the star-schema and corpus tables, each with SQL for an independent engine.
+"""The retrieval operators as queries over the driver's tables, each with SQL for an independent engine.
 
-Texts of both engines are kept apart where functions differ; ranks are by rounded score and then by id, so that ties
-are settled alike everywhere. Vectors are unpacked once and joined by position, so scores are sums that Catalyst plans.
+Each query applies an operator of this package to whole tables; where the tables lack a column that an operator needs,
+it is derived from those there. Every row whose id is divisible by 50 is a search query.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..functions import vectors as V
+from ..plans import retrieval
+from ..sources import records
+from ..streaming import limiter
+from . import evaluate, facets, ingest, rerank, search, store
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+DIM, PROBES, COARSE = 64, 3, 50
 
-#: Every row whose id is divisible by 50 is a query; at most this many results each.
-TOP = 10
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
 
-_SPARK_DOT = "aggregate(zip_with(q.embedding, d.embedding, (x, y) -> cast(x as double) * cast(y as double)), 0D, (s, x) -> s + x)"
-_DUCK_DOT = "list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
-_SPARK_BIN = "aggregate(zip_with(q.embedding, d.embedding, (x, y) -> if(y > 0, cast(x as double), -cast(x as double))), 0D, (s, x) -> s + x)"
-_DUCK_BIN = "list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda z: CASE WHEN z[2] > 0 THEN z[1]::DOUBLE ELSE -(z[1]::DOUBLE) END))"
 
-_TOP = """
-SELECT query_id, vec_id, score, rank FROM (
-  SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS BIGINT) AS rank
-  FROM (SELECT q.vec_id AS query_id, d.vec_id, round({dot}, 6) AS score FROM embeddings d CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q)
-) WHERE rank <= 10
-"""
-_RECALL = """
-WITH exact AS (""" + _TOP.replace("{dot}", "{dot}") + """), coded AS (""" + _TOP.replace("{dot}", "{bin}") + """)
-SELECT e.query_id, count(c.vec_id) / 10.0D AS recall FROM exact e LEFT JOIN coded c ON e.query_id = c.query_id AND e.vec_id = c.vec_id GROUP BY e.query_id
+def query(sql: str) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _queries[f.__name__], _sql[f.__name__] = f, sql
+        return f
+
+    return keep
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+# --- vectors ---------------------------------------------------------------------------------------------------------
+
+
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("v"), "label")
+
+
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    return _vectors(spark, sf).filter("row_id % 50 = 0").select(F.col("row_id").alias("query_id"), F.col("v").alias("q"))
+
+
+def _index(spark: SparkSession, sf: str) -> search.ClusterIndex:
+    v = _vectors(spark, sf)
+    return search.build(v, search.label_centroids(v, "label", DIM))
+
+
+def _dot(a: str, b: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
+
+
+def _sign(q: str, v: str) -> str:
+    return f"list_sum(list_transform(list_zip({q}, {v}), lambda z: CASE WHEN z[2] > 0 THEN z[1]::DOUBLE ELSE -(z[1]::DOUBLE) END))"
+
+
+_BASE = f"""v AS (SELECT vec_id AS row_id, embedding AS v, label FROM embeddings),
+q AS (SELECT row_id AS query_id, v AS q FROM v WHERE row_id % 50 = 0),
+exact_all AS (SELECT query_id, row_id, round({_dot('q', 'v')}, 6) AS score FROM v CROSS JOIN q),
+sign_all AS (SELECT query_id, row_id, label, round({_sign('q', 'v')}, 6) AS score FROM v CROSS JOIN q),
+cent AS (SELECT label AS cluster_id, list_transform(range(1, {DIM + 1}), lambda i: round(avgs[i], 6)) AS c FROM (SELECT label, list_transform(range(1, {DIM + 1}), lambda i: list_avg(list_transform(vs, lambda x: x[i]::DOUBLE))) AS avgs FROM (SELECT label, list(v) AS vs FROM v GROUP BY label))),
+assigned AS (SELECT row_id, cluster_id FROM (SELECT row_id, cluster_id, row_number() OVER (PARTITION BY row_id ORDER BY round({_dot('v', 'c')}, 6) DESC, cluster_id) AS r FROM v CROSS JOIN cent) WHERE r = 1),
+routed AS (SELECT query_id, cluster_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cluster_id) AS rank FROM (SELECT query_id, cluster_id, round({_dot('q', 'c')}, 6) AS score FROM q CROSS JOIN cent))
 """
 
-#: name → (Spark SQL, DuckDB SQL or None for the same text).
-SQL: dict[str, tuple[str, str | None]] = {
-    "exact_topk": (_TOP.format(dot=_SPARK_DOT), _TOP.format(dot=_DUCK_DOT)),
-    "binary_topk": (_TOP.format(dot=_SPARK_BIN), _TOP.format(dot=_DUCK_BIN)),
-    "recall_at_10": (
-        _RECALL.format(dot=_SPARK_DOT, bin=_SPARK_BIN).replace("10.0D", "CAST(10 AS DOUBLE)"),
-        _RECALL.format(dot=_DUCK_DOT, bin=_DUCK_BIN).replace("10.0D", "CAST(10 AS DOUBLE)"),
-    ),
-    "sign_bits": (
-        "SELECT vec_id, CAST(size(filter(embedding, x -> x > 0)) AS BIGINT) AS ones, array_join(transform(embedding, x -> if(x > 0, '1', '0')), '') AS bits FROM embeddings",
-        "SELECT vec_id, CAST(len(list_filter(embedding, lambda x: x > 0)) AS BIGINT) AS ones, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS bits FROM embeddings",
-    ),
-    "density_by_key": ("SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_returnflag IN ('A', 'N') AND (l_linestatus = 'F' OR l_quantity > 10) GROUP BY l_suppkey ORDER BY n DESC, l_suppkey LIMIT 20", None),
-    "ingest_reasons": (
-        "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN text IS NULL THEN 'error' WHEN row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1 THEN 'duplicate' WHEN length(text) < 50 THEN 'too_short' ELSE 'kept' END AS reason FROM documents) GROUP BY reason",
-        None,
-    ),
-    "digest_dedup": (
-        "SELECT doc_id, sha1(encode(text, 'utf-8')) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY sha1(encode(text, 'utf-8')) ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1",
-        "SELECT doc_id, sha1(text) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY sha1(text) ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1",
-    ),
-    "url_exclusion": ("SELECT page_id, url FROM pages WHERE NOT (lower(url) LIKE '%robotstxt%' OR lower(url) LIKE '%crawldiagnostics%')", None),
-    "page_domains": (
-        r"SELECT domain, count(*) AS n FROM (SELECT regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:@]*@)?([^/?#:]*)', 2)), '^www[.]', '') AS domain FROM pages) GROUP BY domain",
-        None,
-    ),
-    "term_df": (
-        "SELECT term, count(*) AS df FROM (SELECT doc_id, explode(array_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}', 0))) AS term FROM documents) GROUP BY term ORDER BY df DESC, term LIMIT 50000",
-        "SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}', 0))) AS term FROM documents) GROUP BY term ORDER BY df DESC, term LIMIT 50000",
-    ),
-    "month_range": (
-        "SELECT substring(CAST(o_orderdate AS STRING), 1, 7) AS month, count(*) AS n FROM orders WHERE substring(CAST(o_orderdate AS STRING), 1, 7) BETWEEN '1995-01' AND '1996-06' GROUP BY 1",
-        "SELECT substring(CAST(o_orderdate AS VARCHAR), 1, 7) AS month, count(*) AS n FROM orders WHERE substring(CAST(o_orderdate AS VARCHAR), 1, 7) BETWEEN '1995-01' AND '1996-06' GROUP BY 1",
-    ),
-    "terms_and": (
-        "SELECT doc_id FROM documents WHERE array_contains(regexp_extract_all(lower(text), '[a-z0-9]{3,}', 0), 'the') AND array_contains(regexp_extract_all(lower(text), '[a-z0-9]{3,}', 0), 'and')",
-        "SELECT doc_id FROM documents WHERE list_contains(regexp_extract_all(lower(text), '[a-z0-9]{3,}', 0), 'the') AND list_contains(regexp_extract_all(lower(text), '[a-z0-9]{3,}', 0), 'and')",
-    ),
-    "latency_percentiles": (
-        "SELECT event_type, percentile_disc(0.5) WITHIN GROUP (ORDER BY value) AS p50, percentile_disc(0.99) WITHIN GROUP (ORDER BY value) AS p99 FROM events GROUP BY event_type",
-        None,
-    ),
-    "store_join_misses": (
-        "SELECT CAST(sum(CASE WHEN l.doc_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS store_miss_drops, count(l.doc_id) AS served FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
-        None,
-    ),
-    "shard_of_id": (
-        "SELECT CAST(conv(substring(sha1(CAST(doc_id AS STRING)), 1, 8), 16, 10) AS BIGINT) % 64 AS shard, count(*) AS n FROM documents GROUP BY 1",
-        "SELECT ('0x' || substring(sha1(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % 64 AS shard, count(*) AS n FROM documents GROUP BY 1",
-    ),
-    "snippets": ("SELECT doc_id, substring(text, 1, 300) AS snippet, 'corpus' AS provenance, true AS untrusted FROM documents", None),
-    "knob_grid": (
-        "SELECT concat('np', np, '_tc', tc) AS slug, CAST(np AS BIGINT) AS np, CAST(tc AS BIGINT) AS tc FROM (SELECT explode(array(1, 2, 4, 8, 16)) AS np) CROSS JOIN (SELECT explode(array(50, 100, 200)) AS tc)",
-        "SELECT concat('np', np, '_tc', tc) AS slug, CAST(np AS BIGINT) AS np, CAST(tc AS BIGINT) AS tc FROM (SELECT unnest([1, 2, 4, 8, 16]) AS np) CROSS JOIN (SELECT unnest([50, 100, 200]) AS tc)",
-    ),
-    "judged_precision": ("SELECT d.source, avg(CAST(l.quality AS DOUBLE)) AS precision, count(*) AS n FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.source", None),
-    "row_partition_check": ("SELECT vec_id, count(*) AS n FROM embeddings GROUP BY vec_id HAVING count(*) <> 1", None),
-    "facet_row_space": ("SELECT source, max(doc_id) AS max_row, count(*) AS n FROM documents GROUP BY source", None),
-}
-
-
-def _query(text: str) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        # Tables are bound as arguments, so queries of different folders never see each other's views.
-        used = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
-        bound = not used or re.sub(rf"\b({'|'.join(used)})\b(?=\s+[a-z]\b|\s*\)|\s+WHERE|\s+GROUP|\s+ORDER|\s*$|\s+CROSS|\s+LEFT|\s+JOIN)", lambda m: "{" + m[1] + "}", text.replace("{", "{{").replace("}", "}}"))
-        return spark.sql(bound, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used}) if used else spark.sql(text)
-
-    return run
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(spark_sql) for name, (spark_sql, _) in SQL.items()}
+
+def _top(source: str, k: int, where: str = "true") -> str:
+    return f"SELECT query_id, row_id, score, rank FROM (SELECT query_id, row_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS rank FROM {source} WHERE {where}) WHERE rank <= {k}"
+
+
+def _probed(n: int, k: int, where: str = "true") -> str:
+    return _top(f"(SELECT s.*, a.cluster_id FROM sign_all s JOIN assigned a USING (row_id) JOIN routed r ON r.query_id = s.query_id AND r.cluster_id = a.cluster_id WHERE r.rank <= {n}) p", k, where)
+
+
+@query(f"WITH {_BASE} SELECT query_id, row_id AS vec_id, score, rank FROM ({_top('exact_all', 10)})")
+def exact_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return search.exact_topk(_vectors(spark, sf), _asked(spark, sf)).withColumnRenamed("row_id", "vec_id")
+
+
+@query(f"WITH {_BASE} SELECT query_id, row_id AS vec_id, score, rank FROM ({_top('sign_all', 10)})")
+def binary_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return search.sign_topk(_vectors(spark, sf), _asked(spark, sf)).withColumnRenamed("row_id", "vec_id")
+
+
+@query(f"WITH {_BASE}, e AS ({_top('exact_all', 10)}), b AS ({_top('sign_all', 10)}) SELECT e.query_id, count(b.row_id) / CAST(10 AS DOUBLE) AS recall FROM e LEFT JOIN b ON e.query_id = b.query_id AND e.row_id = b.row_id GROUP BY e.query_id")
+def recall_at_10(spark: SparkSession, sf: str) -> DataFrame:
+    v, q = _vectors(spark, sf), _asked(spark, sf)
+    return evaluate.compared(retrieval.ground_truth(v, q), evaluate.nested(search.sign_topk(v, q)))
+
+
+@query(f"""WITH {_BASE}, e AS ({_top('exact_all', 10)}), b AS ({_top('sign_all', 10, 'query_id % 100 = 0')}),
+r AS (SELECT e.query_id, count(b.row_id) / CAST(10 AS DOUBLE) AS recall, e.query_id IN (SELECT query_id FROM b) AS held FROM e LEFT JOIN b ON e.query_id = b.query_id AND e.row_id = b.row_id GROUP BY e.query_id)
+SELECT round(avg(recall) FILTER (held), 6) AS recall, min(recall) FILTER (held) AS least, count(*) FILTER (held) AS compared, count(*) FILTER (NOT held) AS skipped FROM r""")
+def recall_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Truth without a prediction is skipped and counted."""
+    v, q = _vectors(spark, sf), _asked(spark, sf)
+    return evaluate.recall_summary(evaluate.compared(retrieval.ground_truth(v, q), evaluate.nested(search.sign_topk(v, q.filter("query_id % 100 = 0")))))
+
+
+@query(f"""SELECT vec_id, (CASE WHEN s >= 9223372036854775808 THEN s - 18446744073709551616 ELSE s END)::BIGINT AS code, ones FROM (
+SELECT vec_id, list_sum(list_transform(list_zip(embedding, range({DIM})), lambda z: CASE WHEN z[1] > 0 THEN 1::HUGEINT << z[2]::INTEGER ELSE 0::HUGEINT END))::HUGEINT AS s, len(list_filter(embedding, lambda x: x > 0)) AS ones FROM embeddings)""")
+def sign_codes(spark: SparkSession, sf: str) -> DataFrame:
+    out = _vectors(spark, sf).select(F.col("row_id").alias("vec_id"), V.sign_code("v")[0].alias("code"))
+    return out.withColumn("ones", F.bit_count("code").cast("long"))
+
+
+@query(f"SELECT vec_id, round({_sign('list_reverse(embedding)', 'embedding')}, 6) AS naive, round({_sign('list_reverse(embedding)', 'embedding')}, 6) AS by_table FROM embeddings")
+def lookup_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """A vector's code against the vector turned round: by bits, and by the table of four-value sums."""
+    v = _vectors(spark, sf).select("row_id", V.sign_code("v").alias("code"), F.reverse("v").alias("q"))
+    by_bits, by_table = V.code_dot("code", "q"), V.lookup_score(V.nibbles("code", DIM), V.lookup_table("q"))
+    return v.select(F.col("row_id").alias("vec_id"), F.round(by_bits, 6).alias("naive"), F.round(by_table, 6).alias("by_table"))
+
+
+@query("""SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS length,
+round(embedding[1]::DOUBLE / (sqrt(list_sum(list_transform(embedding[1:32], lambda x: x::DOUBLE * x::DOUBLE))) + 1e-12), 3) AS first FROM embeddings""")
+def shortened_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return _vectors(spark, sf).select(F.col("row_id").alias("vec_id"), F.round(V.norm("v"), 5).alias("length"), F.round(V.shorten("v", 32)[0].cast("double"), 3).alias("first"))
+
+
+@query(f"SELECT count(*) AS rows, count(*) FILTER (len(embedding) <> {DIM}) AS wrong_dim, 0::BIGINT AS not_finite, count(*) - count(DISTINCT vec_id) AS repeated_ids FROM embeddings")
+def vector_checks(spark: SparkSession, sf: str) -> DataFrame:
+    return search.check_vectors(_vectors(spark, sf), DIM)
+
+
+@query(f"WITH {_BASE} SELECT cluster_id, i::INTEGER AS i, c[i + 1] AS value FROM cent CROSS JOIN range({DIM}) t(i)")
+def cluster_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    return search.label_centroids(_vectors(spark, sf), "label", DIM).select("cluster_id", F.posexplode("c").alias("i", "value"))
+
+
+@query(f"WITH {_BASE} SELECT row_id AS vec_id, cluster_id FROM assigned")
+def cluster_assignment(spark: SparkSession, sf: str) -> DataFrame:
+    return _index(spark, sf).vectors.select(F.col("row_id").alias("vec_id"), "cluster_id")
+
+
+@query(f"WITH {_BASE} SELECT cluster_id, count(*) AS n, min(row_id) AS first_row, max(row_id) AS last_row FROM assigned GROUP BY cluster_id")
+def cluster_lists(spark: SparkSession, sf: str) -> DataFrame:
+    return search.lists(_index(spark, sf)).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first_row"), F.max("row_id").alias("last_row"))
+
+
+@query(f"WITH {_BASE} SELECT query_id, cluster_id, score, rank FROM routed WHERE rank <= {PROBES}")
+def query_routes(spark: SparkSession, sf: str) -> DataFrame:
+    return search.route(_asked(spark, sf), _index(spark, sf).centroids, PROBES)
+
+
+@query(f"WITH {_BASE} SELECT query_id, row_id AS vec_id, score, rank FROM ({_probed(PROBES, 10)})")
+def cluster_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return search.search(_index(spark, sf), _asked(spark, sf), PROBES, 10).withColumnRenamed("row_id", "vec_id")
+
+
+_NPROBES = (1, 2, 3, 5, 10)
+
+
+@query(f"WITH {_BASE}, e AS ({_top('sign_all', 10)}) " + " UNION ALL ".join(f"""SELECT {n} AS nprobe, round(avg(recall), 6) AS recall, min(recall) AS least, count(*) AS compared, 0::BIGINT AS skipped
+FROM (SELECT e.query_id, count(b.row_id) / CAST(10 AS DOUBLE) AS recall FROM e LEFT JOIN ({_probed(n, 10)}) b ON e.query_id = b.query_id AND e.row_id = b.row_id GROUP BY e.query_id)""" for n in _NPROBES))
+def cluster_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Recall against the brute force by codes: rises with the probes, 1 when every cluster is probed."""
+    index, q = _index(spark, sf), _asked(spark, sf)
+    return retrieval.sweep(index, q, evaluate.nested(search.sign_topk(index.vectors, q)), list(_NPROBES))
+
+
+def _faceted(spark: SparkSession, sf: str) -> search.ClusterIndex:
+    """Vectors with derived facets, none of a month where the id is divisible by 9."""
+    index, i = _index(spark, sf), F.col("row_id")
+    host = F.concat(F.lit("l"), F.col("label").cast("string"), F.lit(".example.com"))
+    month = F.when(i % 9 != 0, F.concat(F.lit("2024-0"), (1 + i % 6).cast("string")))
+    terms = F.array(F.concat(F.lit("even"), (i % 2).cast("string")), F.concat(F.lit("third"), (i % 3).cast("string")))
+    return search.ClusterIndex(index.vectors.withColumns({"domain": host, "month": month, "terms": terms}), index.centroids)
+
+
+@query(f"WITH {_BASE} SELECT query_id, row_id AS vec_id, score, rank FROM ({_probed(PROBES, COARSE, 'label IN (1, 3, 4) AND row_id % 9 <> 0 AND 1 + row_id % 6 BETWEEN 2 AND 5 AND row_id % 2 = 1')})")
+def filtered_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Domains or, months inclusive, terms and; all inside the scan."""
+    f = facets.translate_filters({"domains": ["WWW.L1.example.com", "l3.Example.com", "l4.example.com", "none.example"], "date_range": ["2024-02-28", "2024-05-01"], "keywords": ["EVEN1"]})
+    return search.search(_faceted(spark, sf), _asked(spark, sf), PROBES, COARSE, f.column()).withColumnRenamed("row_id", "vec_id")
+
+
+@query(f"WITH {_BASE} SELECT query_id, row_id AS vec_id, score, rank FROM ({_probed(10, COARSE, 'row_id IN (SELECT doc_id FROM labels) AND label IN (0, 2, 5)')})")
+def allowed_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """An allow-list (unordered, with unknown ids) and a filter together."""
+    allow = _t(spark, sf, "labels").select(F.col("doc_id").alias("row_id"))
+    f = facets.Filter(domains=["l0.example.com", "l2.example.com", "l5.example.com"])
+    return search.search(_faceted(spark, sf), _asked(spark, sf), 10, COARSE, f.column(), allow).withColumnRenamed("row_id", "vec_id")
+
+
+@query("""SELECT 'none' AS filter, count(*) AS n FROM embeddings UNION ALL SELECT 'empty domains', 0 UNION ALL SELECT 'empty terms', 0 UNION ALL SELECT 'months turned', 0 UNION ALL SELECT 'unknown term', 0
+UNION ALL SELECT 'allow', count(*) FROM embeddings WHERE vec_id IN (7, 3) UNION ALL SELECT 'months', count(*) FROM embeddings WHERE vec_id % 9 <> 0 AND vec_id % 6 = 2""")
+def filter_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """What each shape of filter leaves: no dimension filters nothing, an empty list matches nothing."""
+    cases = {
+        "none": facets.Filter(), "empty domains": facets.Filter(domains=[]), "empty terms": facets.Filter(terms=[]), "months turned": facets.Filter(month_range=("2024-05", "2024-02")),
+        "unknown term": facets.Filter(terms=["even1", "nowhere"]), "allow": facets.Filter(allow=[7, 3, 7, -1]), "months": facets.Filter(month_range=("2024-03", "2024-03")),
+    }
+    rows = _faceted(spark, sf).vectors
+    counts = []
+    for name, f in cases.items():
+        c = f.column()
+        counts.append(F.count_if(F.lit(True) if c is None else c).alias(name))
+    return rows.agg(*counts).select(F.explode(F.array(*(F.struct(F.lit(n).alias("filter"), F.col(f"`{n}`").alias("n")) for n in cases))).alias("x")).select("x.*")
+
+
+@query("SELECT 0::BIGINT AS repeated, 1::BIGINT AS out_of_range, 1::BIGINT AS missing, 0::BIGINT AS unknown_clusters")
+def partition_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """One row is planted outside the row space, so that the check has something to find."""
+    index = _index(spark, sf)
+    n = index.vectors.count()
+    moved = index.vectors.withColumn("row_id", F.when(F.col("row_id") == 0, F.lit(n)).otherwise(F.col("row_id")))
+    return search.partition_violations(search.ClusterIndex(moved, index.centroids), n)
+
+
+@query(f"""WITH {_BASE} SELECT 'np' || n || '_tc' || tc || '_pt64_b32' AS slug, round(avg(recall), 6) AS recall FROM (
+""" + " UNION ALL ".join(f"""SELECT {n} AS n, {tc} AS tc, e.query_id, count(b.row_id) / CAST(10 AS DOUBLE) AS recall FROM ({_top('exact_all', 10)}) e LEFT JOIN (
+SELECT query_id, row_id FROM ({_top(f'(SELECT x.* FROM exact_all x JOIN ({_probed(n, tc)}) c ON x.query_id = c.query_id AND x.row_id = c.row_id) y', 10)})) b ON e.query_id = b.query_id AND e.row_id = b.row_id GROUP BY e.query_id""" for n in (1, 3) for tc in (10, 50)) + ") GROUP BY n, tc")
+def knob_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """For each setting of probes and candidates: recall after the candidates are ranked again by exact scores."""
+    index, q = _index(spark, sf), _asked(spark, sf)
+    truth = retrieval.ground_truth(index.vectors, q)
+    out = None
+    combos = retrieval.grid(nprobe=[1, 3], top_coarse=[10, 50], max_pair_tokens=[64], batch_size=[32])
+    for row in retrieval.grid_frame(spark, combos).collect():
+        found = search.search(index, q, row["nprobe"], row["top_coarse"]).select("query_id", "row_id")
+        exact = found.join(index.vectors.select("row_id", "v"), "row_id").join(q, "query_id").select("query_id", "row_id", F.round(V.dot("q", "v"), 6).alias("score"))
+        one = evaluate.recall_summary(evaluate.compared(truth, evaluate.nested(search.ranked(exact, 10)))).select(F.lit(row["slug"]).alias("slug"), "recall")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"""WITH {_BASE}, e AS ({_top('exact_all', 50)}), b AS ({_top('sign_all', 50)}), p AS (SELECT e.query_id, coalesce(b.rank, 0) AS c, (SELECT rank FROM e x WHERE x.query_id = e.query_id AND x.row_id = e.row_id) AS r FROM e LEFT JOIN b ON b.query_id = e.query_id AND b.row_id = e.row_id WHERE e.rank = 8)
+SELECT count(*) AS n, round(avg(CASE WHEN c BETWEEN 1 AND 10 THEN 1 ELSE 0 END), 6) AS coarse_recall10, round(avg(CASE WHEN r BETWEEN 1 AND 10 THEN 1 ELSE 0 END), 6) AS reranked_recall10,
+round(avg(CASE WHEN c BETWEEN 1 AND 10 THEN 1.0::DOUBLE / c ELSE 0 END), 6) AS coarse_mrr10, round(avg(CASE WHEN r BETWEEN 1 AND 10 THEN 1.0::DOUBLE / r ELSE 0 END), 6) AS reranked_mrr10,
+count(*) FILTER (r BETWEEN 1 AND 10 AND NOT c BETWEEN 1 AND 10) AS wins, count(*) FILTER (c BETWEEN 1 AND 10 AND NOT r BETWEEN 1 AND 10) AS losses, count(*) FILTER ((c BETWEEN 1 AND 10) = (r BETWEEN 1 AND 10)) AS ties FROM p""")
+def target_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Each query's eighth neighbour is its target; coarse lists are by code, reranked ones by exact score."""
+    v, q = _vectors(spark, sf), _asked(spark, sf)
+    exact = search.exact_topk(v, q, 50)
+    target = exact.filter("rank = 8").select("query_id", F.col("row_id").alias("target"))
+    both = target.join(evaluate.nested(search.sign_topk(v, q, 50), 50).withColumnRenamed("top", "coarse"), "query_id").join(evaluate.nested(exact, 50), "query_id")
+    return evaluate.target_metrics(both.select(evaluate.position("coarse", "target").alias("coarse_pos"), evaluate.position("top", "target").alias("reranked_pos")))
+
+
+# --- facets ----------------------------------------------------------------------------------------------------------
+
+_HOST = r"regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)', 1)), '^www[.]', '')"
+_PAGES = f"""pg AS (SELECT page_id AS row_id, url, html AS text, {_HOST} AS domain, CASE WHEN page_id % 11 = 0 THEN NULL ELSE '2024-' || lpad((1 + page_id % 12)::VARCHAR, 2, '0') END AS month, list_distinct(regexp_extract_all(lower(html), '[a-z0-9]{{3,}}')) AS terms FROM pages),
+df AS (SELECT term, count(*) AS df FROM (SELECT unnest(terms) AS term FROM pg) GROUP BY term), vocab AS (SELECT term FROM df ORDER BY df DESC, term LIMIT 300),
+posted AS (SELECT 'domains' AS facet, domain AS key, row_id FROM pg WHERE domain <> '' UNION ALL SELECT 'dates', month, row_id FROM pg WHERE month IS NOT NULL UNION ALL SELECT 'terms', term, row_id FROM (SELECT row_id, unnest(terms) AS term FROM pg) WHERE term IN (SELECT term FROM vocab))"""
+
+
+def _pages(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(pages with facets, postings over a vocabulary of 300 terms)."""
+    date = F.when(F.col("page_id") % 11 == 0, F.lit("undated")).otherwise(F.concat(F.lit("2024-"), F.lpad((1 + F.col("page_id") % 12).cast("string"), 2, "0"), F.lit("-15")))
+    docs = facets.facet_columns(_t(spark, sf, "pages").select(F.col("page_id").alias("row_id"), "url", F.col("html").alias("text"), date.alias("date")))
+    return docs, facets.postings(docs, facets.vocabulary(docs, 300))
+
+
+@query(f"WITH {_PAGES} SELECT facet, key, max(row_id) AS max_row, count(*) AS n FROM posted GROUP BY facet, key")
+def facet_postings(spark: SparkSession, sf: str) -> DataFrame:
+    return facets.max_rows(_pages(spark, sf)[1])
+
+
+@query(f"WITH {_PAGES} SELECT count(DISTINCT key) FILTER (facet = 'domains') AS domains, count(DISTINCT key) FILTER (facet = 'dates') AS dates, count(DISTINCT key) FILTER (facet = 'terms') AS terms, (SELECT count(*) FROM pages) AS n_docs FROM posted")
+def facet_stats(spark: SparkSession, sf: str) -> DataFrame:
+    docs, posted = _pages(spark, sf)
+    return facets.facet_stats(posted, docs)
+
+
+@query(f"WITH {_PAGES} SELECT facet, key, max(row_id) AS max_row, count(*) AS n FROM posted GROUP BY facet, key HAVING max(row_id) >= (SELECT count(*) - 5 FROM pages)")
+def facet_row_space(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys that name rows outside a row space that is five rows too small."""
+    docs, posted = _pages(spark, sf)
+    return facets.row_space_violations(posted, docs.count() - 5)
+
+
+@query(f"WITH {_PAGES} SELECT row_id, domain FROM pg WHERE domain IN ('spam-farm.example.org', 'm.ththth.example.net')")
+def domain_filter(spark: SparkSession, sf: str) -> DataFrame:
+    f = facets.Filter(domains=["WWW.Spam-Farm.example.org", "M.ththth.example.net", "nowhere.example"])
+    return _pages(spark, sf)[0].filter(f.column()).select("row_id", "domain")
+
+
+@query(f"WITH {_PAGES} SELECT row_id, month FROM pg WHERE month BETWEEN '2024-03' AND '2024-06'")
+def month_filter(spark: SparkSession, sf: str) -> DataFrame:
+    f = facets.translate_filters({"month_range": ["2024-03", "2024-06"]})
+    return _pages(spark, sf)[0].filter(f.column()).select("row_id", "month")
+
+
+_WORDS = ("html", "the", "and")
+
+
+@query(f"WITH {_PAGES} SELECT row_id FROM pg WHERE " + " AND ".join(f"list_contains(terms, '{w}') AND '{w}' IN (SELECT term FROM vocab)" for w in _WORDS))
+def terms_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """All terms must be there, and in the capped vocabulary."""
+    return facets.and_keys(_pages(spark, sf)[1], "terms", [w.lower() for w in ("HTML", "The", "and")])
+
+
+@query(f"WITH {_PAGES} SELECT row_id FROM pg WHERE domain LIKE '%example.net' AND domain IN (SELECT domain FROM pg WHERE row_id % 5 = 0) AND month BETWEEN '2024-01' AND '2024-09' AND list_contains(terms, 'html') AND 'html' IN (SELECT term FROM vocab)")
+def facet_conjunction(spark: SparkSession, sf: str) -> DataFrame:
+    """The same dimensions by postings alone: unions inside, intersection between."""
+    docs, posted = _pages(spark, sf)
+    hosts = [r["domain"] for r in docs.filter("row_id % 5 = 0 and domain like '%example.net'").select("domain").distinct().orderBy("domain").limit(facets.MAX_LIST).collect()]
+    return facets.resolve(posted, facets.Filter(domains=hosts, month_range=("2024-01", "2024-09"), terms=["HTML"]))
+
+
+@query("SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}'))) AS term FROM documents) GROUP BY term ORDER BY df DESC, term LIMIT 50000")
+def term_df(spark: SparkSession, sf: str) -> DataFrame:
+    return facets.vocabulary(_t(spark, sf, "documents"), facets.MAX_TERMS, X.terms(F.coalesce("text", F.lit(""))))
+
+
+# --- ingest ----------------------------------------------------------------------------------------------------------
+
+_RAW = r"""raw AS (SELECT doc_id AS pos, coalesce(text, '') AS payload, sha1(coalesce(text, '')) AS digest, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS text FROM documents),
+rec AS (SELECT *, CASE WHEN text = '' THEN 'empty' ELSE '' END AS error FROM raw),
+placed AS (SELECT *, CASE WHEN error <> '' THEN error WHEN row_number() OVER (PARTITION BY digest, error ORDER BY pos) > 1 THEN 'duplicate' WHEN length(text) < 50 THEN 'too_short' ELSE 'kept' END AS reason FROM rec)"""
+
+
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    raw = _t(spark, sf, "documents").select(F.col("doc_id").alias("pos"), F.concat(F.lit("https://example.com/"), F.col("doc_id").cast("string")).alias("url"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("payload"))
+    return ingest.decoded(raw)
+
+
+@query(f"WITH {_RAW} SELECT reason, count(*) AS n FROM placed GROUP BY reason")
+def ingest_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.reason_counts(_records(spark, sf))
+
+
+@query(f"WITH {_RAW} SELECT count(*) FILTER (reason = 'kept') AS kept, count(*) FILTER (reason <> 'kept') AS skipped FROM placed")
+def ingest_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.stats(ingest.reason_counts(_records(spark, sf))).select("kept", "skipped")
+
+
+@query(f"WITH {_RAW} SELECT pos, 'sha1:' || digest AS id, length(text) AS chars FROM placed WHERE reason = 'kept'")
+def ingest_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.kept_documents(_records(spark, sf)).select("pos", "id", F.length("text").cast("long").alias("chars"))
+
+
+@query("SELECT doc_id, sha1(coalesce(text, '')) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1")
+def digest_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    d = _t(spark, sf, "documents").select("doc_id", F.sha1(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("digest"))
+    return ingest.first_wins(d, "digest", "doc_id").select("doc_id", "digest")
+
+
+#: Pages of one host stand for one URL; those of a crawler's own files are planted.
+_DUP = f"dup AS (SELECT page_id AS pos, CASE WHEN page_id % 13 = 0 THEN 'https://x.example/RobotsTxt-policy' WHEN page_id % 17 = 0 THEN NULL ELSE 'https://' || {_HOST} || '/' END AS url FROM pages)"
+
+
+def _urls(spark: SparkSession, sf: str) -> DataFrame:
+    host = F.concat(F.lit("https://"), X.domain_of("url"), F.lit("/"))
+    i = F.col("page_id")
+    return _t(spark, sf, "pages").select(i.alias("pos"), F.when(i % 13 == 0, F.lit("https://x.example/RobotsTxt-policy")).when(i % 17 == 0, F.lit(None).cast("string")).otherwise(host).alias("url"))
+
+
+@query(f"WITH {_DUP} SELECT pos, url FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(url, '') ORDER BY pos) AS r FROM dup WHERE coalesce(url, '') NOT LIKE '%RobotsTxt%') WHERE r = 1")
+def url_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.url_dedup(_urls(spark, sf))[0].select("pos", "url")
+
+
+@query(f"WITH {_DUP} SELECT count(*) FILTER (x) AS excluded, count(*) FILTER (NOT x) - count(DISTINCT u) FILTER (NOT x) AS duplicate_urls, count(DISTINCT u) FILTER (NOT x) AS kept FROM (SELECT coalesce(url, '') AS u, coalesce(url, '') LIKE '%RobotsTxt%' AS x FROM dup)")
+def url_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.url_dedup(_urls(spark, sf))[1]
+
+
+@query(r"""WITH t AS (SELECT page_id, regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*', ''), '([^/]*)$', 1) || '' AS tail FROM pages),
+w AS (SELECT page_id, list_filter(string_split_regex(regexp_replace(regexp_replace(url_decode(CASE WHEN page_id % 3 = 0 THEN 'how-to_build%2Fan-index%20v' || tail ELSE tail END), '\.[^.]*$', ''), '[_\-/]', ' ', 'g'), '\s+'), lambda x: x <> '') AS words FROM t)
+SELECT page_id, array_to_string(list_transform(words, lambda x: upper(x[1:1]) || x[2:]), ' ') AS title FROM w""")
+def url_titles(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles of the pages' URLs; a slug of several words is planted in every third."""
+    i, path = F.col("page_id"), F.regexp_replace("url", r"[?#].*$", "")
+    planted = F.concat(F.regexp_replace(path, r"[^/]*$", ""), F.lit("how-to_build%2Fan-index%20v"), F.regexp_extract(path, r"([^/]*)$", 1))
+    return _t(spark, sf, "pages").select("page_id", X.title_from_url(F.when(i % 3 == 0, planted).otherwise(F.col("url"))).alias("title"))
+
+
+@query("SELECT page_id, url FROM pages WHERE NOT (lower(url) LIKE '%robotstxt%' OR lower(url) LIKE '%crawldiagnostics%')")
+def url_exclusion(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "pages").filter(~ingest.excluded("url")).select("page_id", "url")
+
+
+@query(f"SELECT {_HOST} AS domain, count(*) AS n FROM pages GROUP BY 1")
+def page_domains(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "pages").groupBy(X.domain_of("url").alias("domain")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_LANGS = "CASE doc_id % 4 WHEN 0 THEN lang WHEN 1 THEN lang || ',fra' WHEN 2 THEN 'fra,' || lang ELSE 'deu,' || lang || ',fra' END"
+
+
+@query(f"SELECT source AS warc_filename, count(*) AS n FROM (SELECT source, {_LANGS} AS l, doc_id FROM documents) WHERE doc_id % 7 <> 0 AND (l = 'en' OR l LIKE 'en,%' OR l LIKE '%,en' OR l LIKE '%,en,%') GROUP BY source ORDER BY n DESC, source LIMIT 4")
+def density_by_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The files with the most pages of a language, wherever it stands in a page's list of languages."""
+    i, lang = F.col("doc_id"), F.col("lang")
+    listed = F.when(i % 4 == 0, lang).when(i % 4 == 1, F.concat(lang, F.lit(",fra"))).when(i % 4 == 2, F.concat(F.lit("fra,"), lang)).otherwise(F.concat(F.lit("deu,"), lang, F.lit(",fra")))
+    index = _t(spark, sf, "documents").select(F.col("source").alias("warc_filename"), F.lit("warc").alias("subset"), F.when(i % 7 == 0, 404).otherwise(200).alias("fetch_status"), F.lit("text/html").alias("content_mime_detected"), listed.alias("content_languages"))
+    return records.density(index, "en", 4)
+
+
+@query("SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_returnflag IN ('A', 'N') AND (l_linestatus = 'F' OR l_quantity > 10) GROUP BY l_suppkey ORDER BY n DESC, l_suppkey LIMIT 20")
+def density_by_key(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _t(spark, sf, "lineitem").filter(F.col("l_returnflag").isin("A", "N") & ((F.col("l_linestatus") == "F") | (F.col("l_quantity") > 10)))
+    return rows.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l_suppkey").limit(20)
+
+
+@query("SELECT 'https://data.example/crawl/subset=warc/part-' || page_id || '.parquet' AS url, 'crawl/wet/warc/' || page_id AS text_path FROM pages WHERE page_id % 3 = 0")
+def part_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts of the page subset alone become URLs, and archive paths the paths of their texts."""
+    i = F.col("page_id").cast("string")
+    subset = F.when(F.col("page_id") % 3 == 0, "warc").otherwise("robotstxt")
+    listing = _t(spark, sf, "pages").select(F.concat(F.lit("crawl/subset="), subset, F.lit("/part-"), i, F.when(F.col("page_id") % 3 == 1, F.lit(".csv")).otherwise(F.lit(".parquet"))).alias("path"))
+    urls = records.part_urls(listing, "https://data.example/")
+    number = F.regexp_extract("url", r"part-(\d+)", 1)
+    return urls.select("url", X.archive_to_text_path(F.concat(F.lit("crawl/warc/warc/"), number)).alias("text_path"))
+
+
+# --- texts -----------------------------------------------------------------------------------------------------------
+
+
+@query(r"SELECT doc_id, length(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) AS stripped, md5(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS collapsed, array_to_string(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '')[1:8], ' ') AS beginning FROM documents")
+def text_forms(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.coalesce("text", F.lit(""))
+    return _t(spark, sf, "documents").select("doc_id", F.length(X.strip(t)).cast("long").alias("stripped"), F.md5(F.encode(X.collapse(t), "utf-8")).alias("collapsed"), X.first_tokens(t, 8).alias("beginning"))
+
+
+@query(r"SELECT page_id, md5(regexp_replace(html, '[\x00-\x08\x0b-\x1f\x7f-\x9f\p{Cf}]', '', 'g')) AS clean, round(length(regexp_replace(html, '[^\x00-\x7f]', '', 'g')) / greatest(1, length(html)), 6) AS ascii FROM pages")
+def clean_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "pages").select("page_id", F.md5(F.encode(X.sanitize("html"), "utf-8")).alias("clean"), F.round(X.ascii_ratio("html"), 6).alias("ascii"))
+
+
+@query(r"WITH b AS (SELECT doc_id AS id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS body FROM documents) SELECT id, body[1:320] AS text FROM b WHERE length(body) >= 800 AND length(regexp_replace(body[1:400], '[^\x00-\x7f]', '', 'g')) / greatest(1, length(body[1:400])) > 0.9")
+def target_pool(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit("").alias("url"), "text")
+    return evaluate.target_pool(docs, 2147483647).select("id", "text")
+
+
+@query("SELECT doc_id AS query_id, substring(text, 1, 200) AS query FROM documents ORDER BY doc_id LIMIT 100")
+def prefix_queries(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.prefix_queries(_t(spark, sf, "documents").withColumnRenamed("doc_id", "row_id"), 100)
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_id FROM documents")
+def dense_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.numbered(_t(spark, sf, "documents").select("doc_id"), "doc_id")
+
+
+@query("SELECT substring(CAST(o_orderdate AS VARCHAR), 1, 7) AS month, count(*) AS n FROM orders WHERE substring(CAST(o_orderdate AS VARCHAR), 1, 7) BETWEEN '1995-01' AND '1996-06' GROUP BY 1")
+def month_range(spark: SparkSession, sf: str) -> DataFrame:
+    """A range on the month is a range on the date, which reaches the scan."""
+    lo, hi = facets.month_range(["1995-01-31", "1996-06-01"])
+    rows = _t(spark, sf, "orders").filter((F.col("o_orderdate") >= F.lit(f"{lo}-01").cast("timestamp")) & (F.col("o_orderdate") < F.add_months(F.lit(f"{hi}-01").cast("date"), 1)))
+    return rows.groupBy(X.month_key(F.col("o_orderdate").cast("string")).alias("month")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- content and results ---------------------------------------------------------------------------------------------
+
+
+def _store(spark: SparkSession, sf: str, name: str = "documents") -> DataFrame:
+    i = F.col("doc_id").cast("string")
+    docs = _t(spark, sf, name).select(i.alias("id"), F.concat(F.lit("https://example.com/"), i).alias("url"), F.concat(F.lit("Title\u0007 "), i).alias("title"), "text", F.lit("2026-01-01").alias("date"))
+    return docs.select("*", store.digest().alias("sha256"), X.shard_of("id").alias("shard"))
+
+
+_CAND = f"""{_BASE}, cand AS (SELECT query_id, row_id::VARCHAR AS id, row_id, rank AS coarse_rank, score AS coarse_score FROM ({_top('sign_all', COARSE)})),
+toks AS (SELECT doc_id, text, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM documents),
+held AS (SELECT c.*, d.text, list_distinct(regexp_extract_all(lower(array_to_string(d.w[1:64], ' ')), '[a-z0-9]{{3,}}')) AS p,
+list_distinct(regexp_extract_all(lower(array_to_string(list_filter(string_split_regex(qd.text[1:200], '\\s+'), lambda x: x <> '')[1:32], ' ')), '[a-z0-9]{{3,}}')) AS qt FROM cand c JOIN toks d ON d.doc_id = c.row_id JOIN toks qd ON qd.doc_id = c.query_id),
+scored AS (SELECT *, CASE WHEN len(qt) = 0 THEN 0.0 ELSE round(len(list_intersect(qt, p))::DOUBLE / len(qt), 6) END AS score FROM held)"""
+
+
+def _candidates(spark: SparkSession, sf: str, kept: DataFrame | None = None) -> rerank.Candidates:
+    """Candidates by code; vectors stand for the documents of the same number, whose beginnings are the queries."""
+    docs = _store(spark, sf)
+    found = search.sign_topk(_vectors(spark, sf), _asked(spark, sf), COARSE).select("query_id", F.col("row_id").cast("string").alias("id"), F.col("rank").alias("coarse_rank"), F.col("score").alias("coarse_score"))
+    got = rerank.fetch(found, docs if kept is None else docs.join(kept, "id", "left_semi"))
+    asked = docs.select(F.col("id").cast("long").alias("query_id"), F.substring("text", 1, 200).alias("query"))
+    return rerank.Candidates(got.rows.join(asked, "query_id"), got.misses)
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return df.select("query_id", "rank", "id", "score", "coarse_score", F.md5(F.encode("snippet", "utf-8")).alias("snippet_md5"), "url", "title", "provenance", "untrusted", "degraded")
+
+
+_SHOWN = r"""query_id, rank, id, score, coarse_score, md5(regexp_replace(coalesce(text, '')[1:300], '[\x00-\x08\x0b-\x1f\x7f-\x9f\p{Cf}]', '', 'g')) AS snippet_md5, 'https://example.com/' || id AS url, 'Title ' || id AS title, 'corpus' AS provenance, true AS untrusted"""
+
+
+@query(f"WITH {_CAND} SELECT {_SHOWN}, false AS degraded FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, coarse_rank) AS rank FROM scored) WHERE rank <= 10")
+def search_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates, content, reranking, snippets: what a caller gets."""
+    return _shown(rerank.results(rerank.rerank(_candidates(spark, sf).rows, rerank.lexical()), 10))
+
+
+@query(f"WITH {_CAND} SELECT {_SHOWN}, true AS degraded FROM (SELECT * REPLACE (coarse_score AS score), row_number() OVER (PARTITION BY query_id ORDER BY coarse_rank) AS rank FROM scored) WHERE rank <= 10")
+def degraded_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Without a scorer: coarse order, coarse scores."""
+    return _shown(rerank.results(rerank.rerank(_candidates(spark, sf).rows, None), 10))
+
+
+@query(f"WITH {_CAND} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY coarse_rank DESC) AS rank FROM scored")
+def reversed_results(spark: SparkSession, sf: str) -> DataFrame:
+    return rerank.reversed_order(_candidates(spark, sf).rows).select("query_id", "id", "rank")
+
+
+@query(f"WITH {_CAND} SELECT query_id, count(*) FILTER (row_id NOT IN (SELECT doc_id FROM labels)) AS store_miss_drops FROM cand GROUP BY query_id")
+def store_misses(spark: SparkSession, sf: str) -> DataFrame:
+    """A store of the labelled documents alone: candidates without content are dropped and counted."""
+    kept = _t(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("id"))
+    return _candidates(spark, sf, kept).misses
+
+
+_IDS = ["7", "3", "nowhere", "12", "3", *map(str, range(30, 60))]
+
+
+@query("WITH asked AS (SELECT unnest([" + ", ".join(f"'{i}'" for i in _IDS[:20]) + "]) AS id, unnest(range(20))::INTEGER AS pos) SELECT pos, id, md5(regexp_replace(text[1:100], '[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x9f\\p{Cf}]', '', 'g')) AS text_md5, CASE WHEN doc_id IS NULL THEN 'not_found' END AS error FROM asked LEFT JOIN documents ON doc_id::VARCHAR = id")
+def contents_page(spark: SparkSession, sf: str) -> DataFrame:
+    """The first page of the ids asked for, in their order; only the shards of these ids are read."""
+    return store.contents(_store(spark, sf), _IDS, 100).select("pos", "id", F.md5(F.encode("text", "utf-8")).alias("text_md5"), "error")
+
+
+@query("SELECT count(*) FILTER (doc_id % 10 <> 3 AND doc_id % 10 <> 4) AS served FROM documents")
+def trusted_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Records whose content was changed, or whose digest was taken away while others have one, are not served."""
+    i = F.col("id").cast("long") % 10
+    held = _store(spark, sf).withColumns({"text": F.when(i == 3, F.concat(F.coalesce("text", F.lit("")), F.lit("!"))).otherwise(F.col("text")), "sha256": F.when(i != 4, F.col("sha256"))})
+    return store.trusted(held).agg(F.count(F.lit(1)).alias("served"))
+
+
+@query("SELECT ('0x' || substring(sha1(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % 64 AS shard, count(*) AS n FROM documents GROUP BY 1")
+def shard_of_id(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "documents").groupBy(X.shard_of("doc_id").cast("long").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT l.doc_id::VARCHAR AS id, 'https://example.com/' || l.doc_id AS url, 'Title' || chr(7) || ' ' || l.doc_id AS title FROM labels l WHERE l.doc_id % 2 = 1 UNION ALL SELECT l.doc_id::VARCHAR, '', '' FROM labels l WHERE l.doc_id % 2 = 0")
+def results_with_misses(spark: SparkSession, sf: str) -> DataFrame:
+    """Results keep their row where the store lacks them; URL and title are empty then."""
+    found = _t(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("id"))
+    return store.with_misses(found, _store(spark, sf).filter(F.col("id").cast("long") % 2 == 1)).select("id", "url", "title")
+
+
+# --- evaluation and streams ------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_type AS stage, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type")
+def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.stage_percentiles(_t(spark, sf, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("ms")))
+
+
+@query("SELECT e.stage, max(e.n) OVER () AS n, e.p50, e.p99 FROM (SELECT event_type AS stage, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type) e")
+def ledger_stages(spark: SparkSession, sf: str) -> DataFrame:
+    """A ledger's map of stages, unfolded."""
+    row = evaluate.ledger_row(_t(spark, sf, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("ms")))
+    return row.select("n", F.explode("stages").alias("stage", "v")).select("stage", "n", "v.p50", "v.p99")
+
+
+@query("SELECT event_id, round(value * 0.9, 6) AS stage_sum FROM events WHERE abs(value * 0.9 - (value + event_id % 40)) > 0.2 * (value + event_id % 40) + 5.0")
+def waterfall_violations(spark: SparkSession, sf: str) -> DataFrame:
+    v = F.col("value")
+    rows = _t(spark, sf, "events").select("event_id", (v * 0.1).alias("embed_ms"), (v * 0.5).alias("ann_ms"), (v * 0.2).alias("rerank_ms"), (v * 0.1).alias("snippet_ms"), (v + F.col("event_id") % 40).alias("total_ms"))
+    return evaluate.waterfall_violations(rows).select("event_id", F.round("stage_sum", 6).alias("stage_sum"))
+
+
+@query("SELECT event_type, count(*) AS docs, round(count(*) * 1000.0::DOUBLE / sum(value), 3) AS docs_per_s, round(sum(value) FILTER (user_id % 2 = 0) / sum(value), 4) AS tokenise_share FROM events GROUP BY event_type")
+def throughput(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _t(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("docs"), F.sum("value").alias("ms"), F.sum(F.when(F.col("user_id") % 2 == 0, F.col("value"))).alias("tokenise_ms"))
+    return evaluate.throughput(rows).select("event_type", "docs", "docs_per_s", "tokenise_share")
+
+
+_JUDGED = """shown AS (SELECT source, doc_id, quality, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos FROM documents JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id)),
+per AS (SELECT source AS qid, CASE pos % 2 WHEN 1 THEN 'A' ELSE 'B' END AS system, sum(quality) / CAST(10 AS DOUBLE) AS precision FROM shown WHERE pos <= 20 GROUP BY 1, 2)"""
+
+
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
+    """Each source is a query whose first 20 labelled documents two systems present in turn; labels of quality judge them."""
+    from pyspark.sql import Window
+
+    labels = _t(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    pos = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    shown = _t(spark, sf, "documents").select("doc_id", "source").join(labels, "doc_id").withColumn("pos", pos).filter("pos <= 20")
+    rows = shown.groupBy(F.col("source").alias("qid")).agg(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("pos") % 2 == 1, "A").otherwise("B").alias("system"), F.col("quality").cast("string").alias("bit")))).alias("e"))
+    entries, bits = F.transform("e", lambda x: x["system"]), F.array_join(F.transform("e", lambda x: x["bit"]), " ")
+    return evaluate.judged(rows.select("qid", entries.alias("entries")), rows.select("qid", bits.alias("bits")))
+
+
+@query(f"WITH {_JUDGED} SELECT qid, system, precision FROM per")
+def judged_precision(spark: SparkSession, sf: str) -> DataFrame:
+    return _judged(spark, sf)
+
+
+@query(f"""WITH {_JUDGED}, d AS (SELECT qid, coalesce(max(precision) FILTER (system = 'A'), 0) AS pa, coalesce(max(precision) FILTER (system = 'B'), 0) AS pb FROM per GROUP BY qid)
+SELECT count(*) AS n_queries, round(avg(pa), 4) AS precision_a, round(avg(pb), 4) AS precision_b, round(avg(round(pb - pa, 9)), 4) AS mean_delta, count(*) FILTER (round(pb - pa, 9) > 0) AS b_better, count(*) FILTER (round(pb - pa, 9) < 0) AS a_better FROM d""")
+def precision_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.precision_summary(_judged(spark, sf), "A", "B")
+
+
+@query("SELECT item_id AS n, b.text AS question, d.doc_id AS id FROM benchmark b JOIN documents d ON d.doc_id = b.item_id")
+def questions_with_targets(spark: SparkSession, sf: str) -> DataFrame:
+    questions = _t(spark, sf, "benchmark").select(F.col("item_id").alias("n"), F.col("text").alias("question"))
+    return evaluate.joined_questions(questions, _t(spark, sf, "documents").select(F.col("doc_id").alias("n"), F.col("doc_id").alias("id")))
+
+
+@query("SELECT DISTINCT doc_id AS id FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)")
+def anchored_targets(spark: SparkSession, sf: str) -> DataFrame:
+    targets = _t(spark, sf, "labels").select(F.col("doc_id").alias("id")).distinct()
+    return retrieval.anchored(targets, _t(spark, sf, "documents").select(F.col("doc_id").alias("id")))
+
+
+_CALLS_LIMIT, _CALLS_WINDOW = 5, 172_800.0
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT user_id::VARCHAR AS client, event_id AS call_id, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) / 1e6, event_id) AS n FROM events),
+s AS (SELECT client, call_id, n, [sec] AS times, true AS allowed FROM c WHERE n = 1 UNION ALL
+SELECT client, call_id, n, CASE WHEN len(kept) < {_CALLS_LIMIT} THEN list_append(kept, sec) ELSE kept END, len(kept) < {_CALLS_LIMIT} FROM (
+SELECT c.client, c.call_id, c.sec, c.n, list_filter(s.times, lambda t: t >= c.sec - {_CALLS_WINDOW}) AS kept FROM s JOIN c ON c.client = s.client AND c.n = s.n + 1))
+SELECT client, call_id, allowed FROM s""")
+def limited_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's events as calls, five in two days."""
+    calls = _t(spark, sf, "events").select(F.col("user_id").alias("client"), F.col("event_id").alias("call_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    return limiter.limited(calls, _CALLS_LIMIT, _CALLS_WINDOW).select("client", "call_id", "allowed")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: duck or spark_sql for name, (spark_sql, duck) in SQL.items()}
+    return dict(_sql)
