@@ -121,9 +121,9 @@ def lookup_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS length,
-round(embedding[1]::DOUBLE / (sqrt(list_sum(list_transform(embedding[1:32], lambda x: x::DOUBLE * x::DOUBLE))) + 1e-12), 3) AS first FROM embeddings""")
+round(embedding[1]::DOUBLE / (sqrt(list_sum(list_transform(embedding[1:32], lambda x: x::DOUBLE * x::DOUBLE))) + 1e-12), 3) + 0.0 AS first FROM embeddings""")
 def shortened_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return _vectors(spark, sf).select(F.col("row_id").alias("vec_id"), F.round(V.norm("v"), 5).alias("length"), F.round(V.shorten("v", 32)[0].cast("double"), 3).alias("first"))
+    return _vectors(spark, sf).select(F.col("row_id").alias("vec_id"), F.round(V.norm("v"), 5).alias("length"), (F.round(V.shorten("v", 32)[0].cast("double"), 3) + 0.0).alias("first"))
 
 
 @query(f"SELECT count(*) AS rows, count(*) FILTER (len(embedding) <> {DIM}) AS wrong_dim, 0::BIGINT AS not_finite, count(*) - count(DISTINCT vec_id) AS repeated_ids FROM embeddings")
