@@ -1,7 +1,8 @@
 """Token counts (operator 8): pieces are counted once for each distinct pre-token and summed by frequency.
 
 A pre-token is what lies between two spaces, with the space before it; a byte-level tokenizer never merges across
-that border, except in runs of white space, which are told apart below. No ids are kept: a pre-token's piece count
+that border, except in runs of white space: texts with such a run are split by the tokenizer's own pre-tokenizer. Special
+strings divide a text into parts of their own. No ids are kept: a pre-token's piece count
 meets the frequencies of the documents that hold it. The most frequent pre-tokens, a fixed number, meet them through
 a broadcast dictionary; all others through one exchange by pre-token, where none is frequent enough to be hot.
 """
@@ -21,8 +22,9 @@ from . import _run
 
 #: Bound of the broadcast dictionary, in pre-tokens (about 10 MB), dealt over as many hash classes.
 HOT, CLASSES = 1 << 18, 1 << 10
-#: Longer pre-tokens are counted in place, so that the dictionary's bytes are bounded as well.
-LONGEST = 64
+#: Longer pre-tokens are not in the dictionary, so that its bytes are bounded as well; those longer still (a run of letters
+#: without a space) are counted where they stand.
+LONGEST, LONGEST_KEY = 64, 2048
 #: A task's counter is emptied when it holds so many pre-tokens.
 FLUSH = 800_000
 
@@ -48,20 +50,55 @@ def piece_counts(path: str, texts: list[str]) -> list[int]:
     return [len(e.ids) for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def _specials(path: str) -> list[str]:
-    return [t.content for t in tokenizer(path).get_added_tokens_decoder().values()]
+def _special(path: str) -> tuple[re.Pattern | None, list[str]]:
+    """What divides a text at its special strings, and those that the library treats in ways of their own."""
+    key = path + "#special"
+    if key not in _loaded:
+        added = tokenizer(path).get_added_tokens_decoder().values()
+        odd = [t.content for t in added if t.lstrip or t.rstrip or t.single_word or t.normalized]
+        plain = sorted((t.content for t in added if t.content not in odd), key=len, reverse=True)
+        _loaded[key] = re.compile("|".join(map(re.escape, plain))) if plain else None, odd
+    return _loaded[key]
 
 
-def _whole(text: str, specials: list[str]) -> bool:
-    """Whether a text must be counted as a whole: a run of white space or a special string may cross a border."""
-    return bool(_RUN.search(text)) or any(s in text for s in specials)
+def split(path: str, text: str) -> tuple[list[str], list[str], int] | None:
+    """(pre-tokens as they are, pre-tokens without the space they begin with, special strings) of a text.
+
+    None where only the library can tell: texts with special strings that strip their surroundings.
+    """
+    divide, odd = _special(path)
+    if any(s in text for s in odd):
+        return None
+    if not _RUN.search(text) and (divide is None or not divide.search(text)):
+        chunks = text.split(" ")
+        return chunks[:1], chunks[1:], 0
+    parts = divide.split(text) if divide is not None else [text]
+    plain, spaced = [], []
+    pre = tokenizer(path).pre_tokenizer
+    for part in parts:
+        if not _RUN.search(part):
+            chunks = part.split(" ")
+            plain.append(chunks[0])
+            spaced += chunks[1:]
+            continue
+        at = 0
+        for _, (a, b) in pre.pre_tokenize_str(part):
+            if a != at:
+                return None
+            at = b
+            if part[a] == " ":
+                spaced.append(part[a + 1 : b])
+            else:
+                plain.append(part[a:b])
+        if at != len(part):
+            return None
+    return plain, spaced, len(parts) - 1
 
 
 def _frequencies(path: str):
     """Pass one: (class-free) frequencies of pre-tokens, added up per task. A first pre-token has no space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        specials = _specials(path)
         inner: Counter = Counter()
         first: Counter = Counter()
 
@@ -75,12 +112,10 @@ def _frequencies(path: str):
 
         for batch in batches:
             for text in batch.column(0):
-                t = text.as_py() or ""
-                if not _whole(t, specials):
-                    chunks = t.split(" ")
-                    first[chunks[0]] += 1
-                    inner.update(chunks[1:])
-                    if len(inner) > FLUSH:
+                if (found := split(path, text.as_py() or "")) is not None:
+                    first.update(found[0])
+                    inner.update(found[1])
+                    if len(inner) + len(first) > FLUSH:
                         yield flush()
         yield flush()
 
@@ -100,35 +135,30 @@ def _documents(path: str, hot, kind: pa.DataType):
     """Pass two: for each row one total of what is known in place, and a row for each other distinct pre-token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        specials, (known, known_first) = _specials(path), hot.value
+        known, known_first = hot.value
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.slice(at, 1000)
                 key, rid, n, who, size = [], [], [], [], []
                 for r, i, text in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist(), strict=True):
                     t = text or ""
-                    total = 0
-                    if _whole(t, specials):
+                    found = split(path, t)
+                    if found is None:
                         total = piece_counts(path, [t])[0]
                     else:
-                        chunks = t.split(" ")
-                        counts = Counter(chunks[1:])
+                        plain, spaced, total = found
                         rest = []
-                        for c, v in counts.items():
-                            p = known.get(c)
-                            if p is None:
-                                rest.append((" " + c, v))
-                            else:
-                                total += p * v
-                        p = known_first.get(chunks[0]) if chunks[0] else 0
-                        if p is None:
-                            rest.append(("^" + chunks[0], 1))
-                        else:
-                            total += p
-                        long = [(c, v) for c, v in rest if len(c) > LONGEST + 1]
+                        for mark, table, counts in ((" ", known, Counter(spaced)), ("^", known_first, Counter(plain))):
+                            for c, v in counts.items():
+                                p = table.get(c)
+                                if p is not None:
+                                    total += p * v
+                                elif c or mark == " ":
+                                    rest.append((mark + c, v))
+                        long = [(c, v) for c, v in rest if len(c) > LONGEST_KEY + 1]
                         if long:
                             total += sum(p * v for p, (_, v) in zip(piece_counts(path, [c if c[0] == " " else c[1:] for c, _ in long]), long, strict=True))
-                            rest = [x for x in rest if len(x[0]) <= LONGEST + 1]
+                            rest = [x for x in rest if len(x[0]) <= LONGEST_KEY + 1]
                         key += [c for c, _ in rest]
                         n += [v for _, v in rest]
                         rid += [r] * len(rest)
@@ -172,8 +202,9 @@ def token_counts(df: DataFrame, tokenizer_path: str, limit: int = 512, id_column
 
     Counts equal those of the library for the whole text, without special tokens at its ends; special strings inside a
     text are handled as the library does by default. Null and empty texts have no tokens. Repeated rows are counted
-    each for itself; an empty table gives no rows; other columns are not read. The broadcast is bounded by ``hot``
-    pre-tokens of ``LONGEST`` characters; every result is the same for any bound.
+    each for itself; an empty table gives no rows; other columns are not read. A very long text is split in the memory of
+    its task. The broadcast is bounded by ``hot`` pre-tokens of ``LONGEST`` characters, of equally frequent ones the
+    first in order; every result is the same for any bound.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 

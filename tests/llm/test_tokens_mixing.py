@@ -40,6 +40,21 @@ def test_first_and_inner_pre_tokens(spark, hot):
     assert [got[i] for i in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("hot", [1 << 18, 1])
+def test_runs_and_special_strings(spark, hot):
+    """Indented code, white space of all kinds, special strings and long runs: as the library counts whole texts."""
+    import random
+
+    r = random.Random(4)
+    bits = ["def f(x):", "\n  ", "\n    return x", " \n ", "\t\t", " \t ", "  ", "\u00a0 ", " \u00a0", "\r\n", "<|endoftext|>", " <|endoftext|> ", "don't", "é", "12345", "###", " ", "\n", "\u3000", "x" * 3000, "日本語", "\x1c", " \x85 "]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 12))) for _ in range(300)] + ["  ", " \n ", "\n  x", "a  ", "<|endoftext|>"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [n for t in texts for n in token_counts.piece_counts(PATH, [t])]
+    got = {x.doc_id: x.n_tokens for x in token_counts.token_counts(df, PATH, hot=hot).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert sum(token_counts.split(PATH, t) is None for t in texts) == 0
+
+
 def test_token_counts_repeats_and_empty(spark):
     got = token_counts.token_counts(ugly(spark), PATH).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows())
