@@ -7,7 +7,7 @@ text exactly.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +27,22 @@ class Template:
         ("start", "system", "ready"), ("start", "user", "asked"), ("ready", "user", "asked"), ("asked", "assistant", "answered"), ("answered", "user", "asked"),
     )
     accepting: tuple[str, ...] = ("answered",)
-    #: Control string → what stands for it in a text; the backslash itself first.
-    escapes: tuple[tuple[str, str], ...] = field(default=(("\\", "\\\\"), ("###", "\\h"), ("</turn>", "\\e"), (": ", "\\c")))
+
+    def __post_init__(self) -> None:
+        """A template that could not be read back is refused."""
+        controls = [self.opening.strip(), self.closing.strip()]
+        if not all(controls) or not self.after_role or any("\\" in c for c in (*controls, self.after_role)):
+            raise ValueError("opening and closing must have signs other than white space, after_role any, and none a backslash")
+        if controls[0] in controls[1] or controls[1] in controls[0]:
+            raise ValueError("opening and closing must not hold each other")
+        shown = [h for _, h in self.headers]
+        if len(set(shown)) < len(shown) or any(self.after_role in h or h[:1] in ("?", "=", "") for h in shown):
+            raise ValueError("headers must differ, must not hold after_role and must not begin with ? or =")
+
+    @property
+    def escapes(self) -> tuple[tuple[str, str], ...]:
+        """Control string → what stands for it in a text; the backslash itself first, and the last only in roles."""
+        return (("\\", "\\\\"), (self.opening.strip(), "\\h"), (self.closing.strip(), "\\e"), (self.after_role, "\\c"))
 
 
 TEMPLATE = Template()
@@ -72,7 +86,7 @@ def format_chats(df: DataFrame, template: Template = TEMPLATE, conv_column: str
     Turns are ordered by number, then role, then text; a repeated row is a turn of its own. A null text is empty; a
     null or unknown role is written under a marked header and makes the turn order invalid. Conversations of invalid
     order are formatted as well, with ``valid`` false. Rows without conv_id form one conversation. An empty table gives
-    no rows. A conversation is one training record, so its turns meet in one task whatever the method.
+    no rows. A conversation is one training record, so its turns, very long texts too, meet in one task whatever the method.
     """
     t = template
     turns = F.sort_array(F.collect_list(F.struct(F.col(turn_column).alias("turn"), F.col(role_column).alias("role"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))))
