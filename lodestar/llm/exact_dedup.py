@@ -55,8 +55,10 @@ def _hashed(rows: DataFrame, primes: tuple[int, ...]) -> DataFrame:
 
 
 def _row_key(id_column: str, data: Column) -> Column:
-    """Rows alike in id and text are interchangeable here: the key of a row is its id and the SHA-256 of its text."""
-    return F.concat(F.coalesce(F.col(id_column).cast("string"), F.lit("null")), F.lit(":"), F.sha2(data, 256))
+    """Rows alike in id and text are interchangeable here: the key of a row is its id (a null one apart from any other) and
+    the SHA-256 of its text."""
+    told = F.when(F.col(id_column).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(id_column).cast("string")))
+    return F.concat(told, F.lit(":"), F.sha2(data, 256))
 
 
 def fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", chunk_bytes: int = CHUNK_BYTES, primes: tuple[int, ...] = PRIMES) -> DataFrame:
@@ -74,26 +76,33 @@ def fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
     return small.unionByName(huge.select("rid.*", *map(fold, range(n)))).drop("at")
 
 
-def _members(df: DataFrame, id_column: str, text_column: str, chunk_bytes: int, primes: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
-    """Fingerprinted rows, and the classes of those that have copies: (row, doc_id, n, rep), a row for each key."""
+def _members(df: DataFrame, id_column: str, text_column: str, chunk_bytes: int, primes: tuple[int, ...]) -> tuple[DataFrame, DataFrame, int]:
+    """Fingerprinted rows, the classes of those that have copies: (row, doc_id, n, rep, all), a row for each key, and
+    how many rows there are. ``all`` is at least the size of the class."""
     key = ["len", *(f"h{i}" for i in range(len(primes)))]
     marks = _run.cut(fingerprints(df, id_column, text_column, chunk_bytes, primes))
-    many = marks.groupBy(*key).agg(F.max(F.struct("doc_id", "row"))["row"].alias("rep"), F.count(F.lit(1)).alias("all")).filter("all > 1")
-    members = _run.cut(marks.join(many.drop("all"), key).groupBy("row", "doc_id", "rep").agg(F.count(F.lit(1)).alias("n")))
+    total = marks.count()
+    many = _run.cut(marks.groupBy(*key).agg(F.max(F.struct("doc_id", "row"))["row"].alias("rep"), F.count(F.lit(1)).alias("all")).filter("all > 1"))
+    members = _run.cut(_run.join_groups(marks, many, key, "all", total).groupBy("row", "doc_id", "rep", "all").agg(F.count(F.lit(1)).alias("n")))
     texts = df.select(_row_key(id_column, _run.utf8(text_column)).alias("row"), _run.utf8(text_column).alias("data"))
     decided = None
     while True:
-        own = _chunks(members.filter("row != rep").select("row", "rep").join(texts, "row"), "data", chunk_bytes)
-        lead = _chunks(members.filter("row = rep").select("row").join(texts, "row").select(F.col("row").alias("rep"), "data"), "data", chunk_bytes).withColumnRenamed("part", "rep_part").dropDuplicates(["rep", "chunk"])
-        same = own.join(lead, ["rep", "chunk"]).groupBy("row").agg(F.min(F.col("part") == F.col("rep_part")).alias("same"))
+        # A representative is there once for so many members, so that those of a large group meet it in many tasks.
+        salts = F.ceil(F.col("all") / _run.HOT_ROWS).cast("int")
+        named = members.select("row", "rep", "n", salts.alias("salts"))
+        held = _run.join_groups(texts, named, ["row"], "n", total)
+        own = _chunks(held.filter("row != rep").select("row", "rep", F.pmod(F.xxhash64("row"), "salts").cast("int").alias("salt"), "data"), "data", chunk_bytes)
+        lead = held.filter("row = rep").dropDuplicates(["row"]).select("rep", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "data")
+        lead = _chunks(lead, "data", chunk_bytes).withColumnRenamed("part", "rep_part")
+        same = own.join(lead, ["rep", "salt", "chunk"]).groupBy("row").agg(F.min(F.col("part") == F.col("rep_part")).alias("same"))
         judged = _run.cut(members.join(same, "row", "left").withColumn("same", F.coalesce("same", F.lit(True))))
         good = judged.filter("same").drop("same")
         decided = good if decided is None else decided.unionByName(good)
         other = judged.filter("not same").drop("same")
         if other.isEmpty():
-            return marks, decided
-        best = other.groupBy("rep").agg(F.max(F.struct("doc_id", "row"))["row"].alias("next"))
-        members = _run.cut(other.join(best, "rep").select("row", "doc_id", "n", F.col("next").alias("rep")))
+            return marks, decided, total
+        best = other.groupBy("rep").agg(F.max(F.struct("doc_id", "row"))["row"].alias("next"), F.max("all").alias("size"))
+        members = _run.cut(_run.join_groups(other, best, ["rep"], "size", total).select("row", "doc_id", "n", "all", F.col("next").alias("rep")))
 
 
 def exact_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", chunk_bytes: int = CHUNK_BYTES, primes: tuple[int, ...] = PRIMES) -> DataFrame:
@@ -101,16 +110,17 @@ def exact_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
     Equal means byte for byte; null counts as empty, so all null and empty texts are one group. The largest doc_id of
     a group stays (a null id is smaller than any; rows that repeat that id and text all say kept). Repeated rows are
-    members like others; an empty table gives no rows; other columns are not read.
+    members like others; an empty table gives no rows; other columns are not read. A text of any length is hashed and
+    compared chunk by chunk.
 
-    A group is never gathered: sizes are partial sums, and members are joined to one representative, a skewed side
-    that adaptive execution splits.
+    A group is never gathered: sizes are partial sums, members meet copies of their representative in many tasks, and
+    what a large group adds up to reaches its rows by a bounded broadcast.
     """
-    marks, decided = _members(df, id_column, text_column, chunk_bytes, primes)
-    classes = decided.groupBy("rep").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    found = decided.select("row", "rep").join(classes, "rep").select("row", "keep_id", "group_size")
+    marks, decided, total = _members(df, id_column, text_column, chunk_bytes, primes)
+    classes = _run.cut(decided.groupBy("rep").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size")))
+    found = _run.join_groups(decided.select("row", "rep", "n"), classes, ["rep"], "group_size", total).select("row", "n", "keep_id", "group_size")
     alone = F.col("group_size").isNull()
-    return marks.join(found, "row", "left").select(
+    return _run.join_groups(marks, _run.cut(found), ["row"], "n", total, "left").select(
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         (alone | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.element_at(F.split("row", ":"), -1).alias("text_sha256"),
     )
@@ -121,7 +131,7 @@ def exact_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
     A null text counts as empty. Of rows that repeat both id and text one stays. An empty table stays empty.
     """
-    _, decided = _members(df, id_column, text_column, chunk_bytes, primes)
+    _, decided, _ = _members(df, id_column, text_column, chunk_bytes, primes)
     gone = decided.filter("row != rep").select("row")
     row, gone_row = _run.fresh(df, "row_key", "gone_row_key")
     own = df.withColumn(row, _row_key(id_column, _run.utf8(text_column)))
