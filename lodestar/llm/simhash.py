@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _run
@@ -352,47 +352,56 @@ def near_classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
     Null ids are larger than any for class_id; repeated rows are members each; an empty table gives no rows.
 
     Links are found with the probability ``recall`` at that similarity, and more surely above it. A component of more
-    than ``verify_rows`` distinct texts is verified in parts: each whole, then ``leaders`` texts of each cluster, and then,
+    than ``verify_rows`` distinct texts is verified in parts: each whole, then up to ``leaders`` texts of each cluster, and then,
     unless these made it one cluster, each part with each other part on whole sets, except pairs of one cluster.
     """
     marks = _run.cut(fingerprints(df, id_column, text_column))
-    texts = marks.filter("fp is not null").groupBy("th").agg(F.first("fp").alias("fp"))
+    total = marks.count()
+    texts = marks.filter("fp is not null").groupBy("th").agg(F.first("fp").alias("fp"), F.min(F.struct("doc_id")).alias("pick"))
     # Distinct texts, by vector: partial sums first, so copies never meet in one task.
     texts = _run.cut(texts)
     vectors = _run.cut(texts.groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
     labels = components(near_links(vectors.select("fp"), similarity, recall, list_rows, seed))
     placed = vectors.join(labels, vectors["fp"] == labels["node"], "left").filter("n > 1 or label is not null").select("fp", F.coalesce("label", "fp").alias("comp"))
-    members = _run.cut(texts.join(placed, "fp").select("th", "comp"))
+    members = _run.cut(texts.join(placed, "fp").select("th", "comp", "pick"))
     sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
     # Two parts of a larger component fit a task together.
     parts = F.when(F.col("n") > verify_rows, F.ceil(2 * F.col("n") / verify_rows)).otherwise(1).cast("int")
-    parted = members.join(sizes, "comp").select("th", "comp", F.pmod(F.xxhash64("th"), parts).cast("int").alias("part"), parts.alias("parts"))
-    own = df.select(F.unhex(F.md5(_run.utf8(text_column))).alias("th"), F.col(text_column).alias("text")).join(parted, "th").dropDuplicates(["th"])
+    parted = members.join(sizes, "comp").select("th", "comp", "pick", F.pmod(F.xxhash64("th"), parts).cast("int").alias("part"), parts.alias("parts"))
+    # One row stands for each text: rows meet it by text and id, so copies of a text spread over the tasks.
+    given = df.select(F.unhex(F.md5(_run.utf8(text_column))).alias("th"), F.struct(F.col(id_column).alias("doc_id")).alias("pick"), F.col(text_column).alias("text"))
+    own = given.join(parted, ["th", "pick"]).dropDuplicates(["th"])
     key = F.when(F.col("parts") > 1, F.concat("comp", F.encode(F.concat(F.lit("#"), F.col("part")), "utf-8"))).otherwise(F.col("comp"))
     sets = own.select(key.alias("comp"), "th", "text").mapInArrow(_grams, "comp binary, th binary, grams binary")
     checked = _run.cut(sets.repartition("comp").sortWithinPartitions("comp").mapInArrow(_verify(similarity, leaders), "comp binary, th binary, head binary, grams binary"))
     chain = checked.select("th", "head")
     if not parted.filter("parts > 1").isEmpty():
         # Leaders of all parts of a component, compared again; clusters that they link become one.
-        open_parts = checked.filter(F.col("grams").isNotNull() & (F.length("comp") > 16)).select("comp", "th", "head", "grams")
-        again = open_parts.select(F.substring("comp", 1, 16).alias("comp"), "th", "grams").repartition("comp").sortWithinPartitions("comp").mapInArrow(_verify(similarity, 0), "comp binary, th binary, head binary, grams binary").select(F.col("th").alias("lead"), F.col("head").alias("top"))
+        open_parts = checked.filter(F.col("grams").isNotNull() & (F.length("comp") > 16)).select(F.substring("comp", 1, 16).alias("comp"), "th", "head", "grams")
+        # As many of them as a task takes, those of the largest clusters first; the parts' own comparison finds the rest.
+        ahead = chain.groupBy("head").agg(F.count(F.lit(1)).alias("size"))
+        first = open_parts.select("comp", "th", "head").join(ahead, "head").withColumn("at", F.row_number().over(Window.partitionBy("comp").orderBy(F.desc("size"), "head", "th"))).filter(F.col("at") <= verify_rows)
+        open_parts = _run.cut(open_parts.join(first.select("th"), "th", "left_semi"))
+        again = open_parts.select("comp", "th", "grams").repartition("comp").sortWithinPartitions("comp").mapInArrow(_verify(similarity, 0), "comp binary, th binary, head binary, grams binary").select(F.col("th").alias("lead"), F.col("head").alias("top"))
         joined = open_parts.select("th", "head").join(again, F.col("th") == F.col("lead")).select(F.col("head").alias("a"), F.col("top").alias("b"))
         chain = _run.cut(_merged(chain, joined))
         # Parts of a component of several clusters, two by two: links of any other members.
         several = parted.filter("parts > 1").join(chain, "th")
         several = several.join(several.groupBy("comp").agg(F.min("head").alias("low"), F.max("head").alias("high")).filter("low != high").select("comp"), "comp", "left_semi")
-        several = _run.cut(several.select("th", "comp", "part", "parts", "head"))
+        several = _run.cut(several.select("th", "pick", "comp", "part", "parts", "head"))
         if not several.isEmpty():
-            texts = df.select(F.unhex(F.md5(_run.utf8(text_column))).alias("th"), F.col(text_column).alias("text")).join(several.select("th"), "th", "left_semi").dropDuplicates(["th"])
+            texts = given.join(several.select("th", "pick"), ["th", "pick"], "left_semi").dropDuplicates(["th"])
             whole = texts.select(F.col("th").alias("comp"), "th", "text").mapInArrow(_grams, "comp binary, th binary, grams binary").select("th", "grams")
-            pairs = whole.join(several, "th").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("part != other")
+            pairs = whole.join(several.drop("pick"), "th").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("part != other")
             block = F.concat("comp", F.encode(F.concat_ws("#", F.lit(""), F.least("part", "other"), F.greatest("part", "other")), "utf-8"))
             met = pairs.select(block.alias("block"), "part", "head", "grams").repartition("block").sortWithinPartitions("block").mapInArrow(_meet(similarity), "a binary, b binary")
             chain = _merged(chain, met)
-    named = marks.join(chain, "th", "left").select("doc_id", "th", F.coalesce("head", "th").alias("class"))
+    # Texts of many copies are groups too, whether a link was found or not.
+    sized = marks.groupBy("th").agg(F.count(F.lit(1)).alias("copies")).join(chain, "th", "left").filter(F.col("head").isNotNull() | (F.col("copies") > _run.hot_size(total)))
+    named = _run.join_groups(marks, _run.cut(sized), ["th"], "copies", total, "left").select("doc_id", "th", F.coalesce("head", "th").alias("class"))
     named = _run.cut(named)
-    classes = named.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return named.join(classes, "class").select("doc_id", "class_id", "class_size", "th")
+    classes = _run.cut(named.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")))
+    return _run.join_groups(named, classes, ["class"], "class_size", total).select("doc_id", "class_id", "class_size", "th")
 
 
 def near_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
