@@ -25,9 +25,27 @@ def test_shards_law_and_whole(spark):
     again = sorted(((r.record.doc_id or -1, r.shard, r.slot) for r in sharding.shards(df.repartition(3), 7, bucket_bytes=20_000, least_buckets=3).collect()))
     other = sorted(((r.record.doc_id or -1, r.shard, r.slot) for r in sharding.shards(df, 7, seed=5, bucket_bytes=20_000, least_buckets=3).collect()))
     assert again != other
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    try:  # the seed alone decides: not the partitions of the input, nor those of the session
+        for partitions, adaptive in ((3, "true"), (13, "false")):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            assert again == sorted(((r.record.doc_id or -1, r.shard, r.slot) for r in sharding.shards(df, 7, bucket_bytes=20_000, least_buckets=3).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert sharding.shards(empty(spark), 7).count() == 0
 
 
+def test_many_equal_rows_scatter(spark):
+    """Rows equal in all columns fill no bucket alone, and none is lost."""
+    df = spark.range(6000).select(F.when(F.col("id") < 2000, F.col("id")).alias("doc_id"), F.when(F.col("id") < 2000, F.lit("t")).alias("text"))
+    got = sharding.shuffled(df, bucket_bytes=2000, least_buckets=4).select("place", F.col("record.doc_id").alias("i")).collect()
+    assert sorted(r.place for r in got) == list(range(6000)) and Counter(r.i for r in got) == Counter([*range(2000), *[None] * 4000])
+    quarters = Counter(r.place // 1500 for r in got if r.i is None)
+    assert all(850 < quarters[k] < 1150 for k in range(4))  # 1000 expected
+
+
 def test_shuffle_is_uniform(spark):
     """Each of 400 rows lands in each quarter of the order about equally often over seeds."""
     df = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
@@ -56,6 +74,25 @@ def test_exact_groups(spark, chunk, primes):
     assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
 
 
+def test_exact_groups_of_string_ids(spark):
+    """A null id is no id of that name."""
+    data = [(None, "a b"), ("null", "a b"), ("", "a b"), ("z", "q"), ("=", None)]
+    df = spark.createDataFrame(data, "doc_id string, text string")
+    got = exact_dedup.exact_groups(df).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size) for r in got) == Counter([(None, "null", 3), ("null", "null", 3), ("", "null", 3), ("z", "z", 1), ("=", "=", 1)])
+    assert Counter(map(tuple, exact_dedup.exact_dedup(df).collect())) == Counter([("null", "a b"), ("z", "q"), ("=", None)])
+
+
+def test_exact_groups_of_very_many(spark):
+    """Groups and repeated rows so large that they are hot."""
+    df = spark.range(4000).select((F.col("id") % 1500).alias("doc_id"), F.when(F.col("id") % 2 == 0, "even").when(F.col("id") % 3 == 0, F.concat(F.lit("t"), F.col("id").cast("string"))).otherwise(F.lit("odd")).alias("text"))
+    df = df.union(spark.range(2500).select(F.lit(7).cast("long"), F.lit("odd")))
+    data = [(r.doc_id, r.text) for r in df.collect()]
+    got = exact_dedup.exact_groups(df).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == brute_groups(data)
+    assert Counter(r.text for r in exact_dedup.exact_dedup(df).collect()) == Counter({t for _, t in data})
+
+
 def test_chunk_hashes_compose(spark):
     df = ugly(spark)
     whole = {(r.row): (r.h0, r.h1, r.h2, r.h3) for r in exact_dedup.fingerprints(df).collect()}
@@ -94,6 +131,17 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_another_template(spark):
+    t = chat.Template(opening="<|start|>", closing="<|end|>", after_role="\n", headers=(("user", "user"), ("assistant", "bot")))
+    said = ["<|end|> \\h <|start|>\n\\", "x" * 300_000, "", None]
+    df = spark.createDataFrame([(0, i, "user" if i % 2 == 0 else "assistant", x) for i, x in enumerate(said)], "conv_id long, turn long, role string, text string")
+    r = chat.format_chats(df, t).select("valid", chat.read_back(F.col("formatted"), t).alias("turns"), chat.loss_text(F.col("segments"), t).alias("loss")).first()
+    assert r.valid and [x.text for x in r.turns] == [x or "" for x in said] and r.loss == "x" * 300_000
+    for bad in ({"opening": " "}, {"closing": "a\\"}, {"opening": "##", "closing": "###"}, {"headers": (("user", "a: b"),)}, {"headers": (("user", "=u"),)}):
+        with pytest.raises(ValueError):
+            chat.Template(**bad)
+
+
 def brute_rules(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -144,6 +192,18 @@ def test_op2_digest(spark):
         assert (got[d.doc_id].size, got[d.doc_id].text_crc32) == (len(b) + 8, zlib.crc32(b))
 
 
+def test_op5_oracle(spark):
+    import duckdb
+
+    from lodestar.llm import queries
+
+    con = duckdb.connect()
+    con.execute("create view conversations as select * from '/root/testdata/sf0.001/conversations.parquet'")
+    rel = con.execute(queries.OP5_SQL)
+    names = [c[0] for c in rel.description]
+    assert Counter(map(tuple, queries.op5_chat_formatting(spark, "/root/testdata/sf0.001").select(*names).collect())) == Counter(rel.fetchall())
+
+
 def test_op4_oracle(spark):
     import duckdb
 
