@@ -1,4 +1,10 @@
-"""A corpus from raw documents to packed sequences: each stage works on all rows that the one before it kept."""
+"""A corpus from raw documents to packed sequences: each stage works on all rows that the one before it kept.
+
+Every stage takes any number of rows, none too. A null text counts as empty: it has no lines, and its score is the share of
+good documents in training; null and empty texts are one group of exact copies; they are near to nothing else, have
+size 0 in the mix, which never takes them, and are one token in packing. Rows that repeat id and text are one row after
+the exact stage. Of very long texts all is read. Columns beyond those of documents are kept up to the last stage.
+"""
 
 from __future__ import annotations
 
