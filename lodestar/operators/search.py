@@ -58,10 +58,10 @@ def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(cols)
 
 
-def _blocks(queries: DataFrame, bytes_each: int, limit: int = BLOCK_BYTES) -> Iterator[pa.Table]:
-    """The queries (query_id, q, and any others) in blocks of about ``limit`` bytes; their number is counted first."""
-    n = queries.count()
-    blocks = max(1, -(-n * bytes_each // limit))
+def _blocks(queries: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[pa.Table]:
+    """The queries (query_id, q, and any others) in blocks of about ``limit`` bytes; their size is asked for first."""
+    n, width = queries.agg(F.count(F.lit(1)), F.max(F.size("q"))).first()
+    blocks = max(1, -(-n * (8 * (width or 1) + 64) // limit))
     for b in range(blocks):
         part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         yield part.toArrow()
@@ -71,10 +71,9 @@ def _scan(vectors: DataFrame, queries: DataFrame, k: int, kind: str, routed: boo
     """(query_id, row_id, score): partial top-k of each batch. ``vectors``: (row_id, v[, cluster_id]); ``queries``: (query_id, q[, clusters])."""
     spark = vectors.sparkSession
     ids = vectors.select("row_id").schema[0].dataType.simpleString(), queries.select("query_id").schema[0].dataType.simpleString()
-    width = 8 * (queries.select(F.max(F.size("q"))).first()[0] or 1) + 64
     columns = ["row_id", "v", *(["cluster_id"] if routed else [])]
     out = None
-    for table in _blocks(queries, width, limit):
+    for table in _blocks(queries, limit):
         if not table.num_rows:
             continue
         q = _matrix(table.column("q"))
