@@ -26,14 +26,16 @@ def documents():
     return dict(table("documents", "doc_id, text"))
 
 
-def test_op1(spark, documents):
-    got = Q.op1_quality_classifier(spark, SF).collect()
-    assert sorted(r.doc_id for r in got) == sorted(documents)
-    labels = dict(table("labels", "doc_id, quality"))
+def test_op1(spark):
+    """On the fold that is held out; the smallest table has only 19 of its labels, so this is the next larger one."""
+    sf = "/root/testdata/sf0.01"
+    got = Q.op1_quality_classifier(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for (i,) in table("documents", "doc_id", sf))
+    labels = dict(table("labels", "doc_id, quality", sf))
     for r in got:
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
     held = [(r.predicted, labels[r.doc_id]) for r in got if r.held_out and r.doc_id in labels]
-    assert held and np.mean([a == b for a, b in held]) >= 0.9
+    assert len(held) > 50 and np.mean([a == b for a, b in held]) >= 0.95
 
 
 def test_op3(spark, documents):
