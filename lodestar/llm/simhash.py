@@ -33,6 +33,9 @@ LEVEL_SHARES = (0.4, 0.4, 0.1, 0.1)
 #: it towards the other parts of a larger component.
 VERIFY_ROWS, LEADERS = 2048, 32
 
+#: Links that one task joins while components are found.
+EDGE_ROWS = 50_000
+
 _SIGNS = np.where((np.arange(256)[:, None] >> np.arange(8)) & 1, 1, -1).astype(np.float32)
 
 
@@ -234,27 +237,34 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label): the smallest node of each node's component.
 
     Each round every node moves along smallest neighbours as far as they lead, and links are drawn between what the
-    nodes moved to; links inside one of these vanish, so that a star of any size is gone after one round.
+    nodes moved to; links inside one of these vanish, so that a star of any size is gone after one round. Tasks take some
+    ``EDGE_ROWS`` links each, however many partitions the session gives an exchange.
     """
     edges = _run.cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct())
+    tasks = max(1, -(-edges.count() // EDGE_ROWS))
+    edges = edges.coalesce(tasks)
+
+    def cut(df: DataFrame) -> DataFrame:
+        return _run.cut(df.coalesce(tasks))
+
     labels = None
     for _ in range(rounds):
         if labels is not None and edges.isEmpty():
             return labels
         both = edges.union(edges.select("b", "a"))
         near = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to"))
-        near = _run.cut(near)
+        near = cut(near)
         while True:  # pointers double their reach, so that a chain takes logarithmically many steps
             jump = near.select(F.col("node").alias("to"), F.col("to").alias("further"))
-            jumped = _run.cut(near.join(jump, "to").select("node", F.col("further").alias("to"), (F.col("further") != F.col("to")).alias("moved")))
+            jumped = cut(near.join(jump, "to").select("node", F.col("further").alias("to"), (F.col("further") != F.col("to")).alias("moved")))
             near = jumped.select("node", "to")
             if jumped.filter("moved").isEmpty():
                 break
         left, right = near.toDF("a", "x"), near.toDF("b", "y")
         moved = edges.join(left, "a").join(right, "b").filter("x != y")
-        edges = _run.cut(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        edges = cut(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         # What earlier rounds gave moves along.
-        labels = near.toDF("node", "label") if labels is None else _run.cut(labels.join(near.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+        labels = near.toDF("node", "label") if labels is None else cut(labels.join(near.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
     raise RuntimeError("components did not settle")
 
 
@@ -367,7 +377,7 @@ def near_classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
     sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
     # Two parts of a larger component fit a task together.
     parts = F.when(F.col("n") > verify_rows, F.ceil(2 * F.col("n") / verify_rows)).otherwise(1).cast("int")
-    parted = members.join(sizes, "comp").select("th", "comp", "pick", F.pmod(F.xxhash64("th"), parts).cast("int").alias("part"), parts.alias("parts"))
+    parted = _run.cut(members.join(sizes, "comp").select("th", "comp", "pick", F.pmod(F.xxhash64("th"), parts).cast("int").alias("part"), parts.alias("parts")))
     # One row stands for each text: rows meet it by text and id, so copies of a text spread over the tasks.
     given = df.select(F.unhex(F.md5(_run.utf8(text_column))).alias("th"), F.struct(F.col(id_column).alias("doc_id")).alias("pick"), F.col(text_column).alias("text"))
     own = given.join(parted, ["th", "pick"]).dropDuplicates(["th"])
