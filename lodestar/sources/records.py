@@ -55,7 +55,9 @@ class _ArchiveReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [_Part(i, p) for i, p in enumerate(self.paths)]
 
-    def read(self, part: _Part) -> Iterator[tuple]:
+    def read(self, part: _Part | None) -> Iterator[tuple]:
+        if part is None:  # no file at all
+            return
         path = part.path.removeprefix("file:")
         opened = gzip.open(path, "rb") if path.endswith(".gz") else open(path, "rb")  # noqa: SIM115
         with opened as stream:

@@ -93,7 +93,7 @@ def test_archives(spark, tmp_path):
     got = records.read_archives(spark, found).orderBy("pos").collect()
     assert [(r.url, r.rec_type) for r in got] == [("https://e.com/one-page.html", "conversion"), ("https://e.com/bad", "conversion"), ("https://e.com/two", "conversion")]
     assert bytes(got[2].payload) == b"second text " * 10
-    assert records.read_archives(spark, found, "").count() == 4
+    assert records.read_archives(spark, found, "").count() == 4 and records.read_archives(spark, []).count() == 0
     anywhere = records.read_archives_anywhere(spark, found).orderBy("pos").collect()
     assert [(r.url, bytes(r.payload)) for r in anywhere] == [(r.url, bytes(r.payload)) for r in got]
     docs, why, _ = ingest.ingest(records.read_archives(spark, found))
