@@ -51,7 +51,9 @@ def _asked(spark: SparkSession, sf: str) -> DataFrame:
 
 def _index(spark: SparkSession, sf: str) -> search.ClusterIndex:
     v = _vectors(spark, sf)
-    return search.build(v, search.label_centroids(v, "label", DIM))
+    means = search.label_centroids(v, "label", DIM)
+    # A row for each label; routing and assignment ship them anyway, so they are made once.
+    return search.build(v, spark.createDataFrame(means.collect(), means.schema))
 
 
 def _dot(a: str, b: str) -> str:
