@@ -10,7 +10,7 @@ small distances are then verified by the Jaccard similarity of their whole shing
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -239,32 +239,44 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     Each round every node moves along smallest neighbours as far as they lead, and links are drawn between what the
     nodes moved to; links inside one of these vanish, so that a star of any size is gone after one round. Tasks take some
     ``EDGE_ROWS`` links each, however many partitions the session gives an exchange.
+
+    Each step is a table, not a checkpoint: a checkpoint inherits the size that the plan estimates, the product of both
+    sides for a join, so the digits of that number double with each step until the driver has no room and time for it.
     """
     edges = _run.cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct())
     tasks = max(1, -(-edges.count() // EDGE_ROWS))
     edges = edges.coalesce(tasks)
 
+    made: list[tuple[DataFrame, Callable[[], None]]] = []
+
     def cut(df: DataFrame) -> DataFrame:
-        return _run.cut(df.coalesce(tasks))
+        made.append(_run.stored(df.coalesce(tasks)))
+        return made[-1][0]
 
-    labels = None
+    labels = last = None
     for _ in range(rounds):
         if labels is not None and edges.isEmpty():
+            for table, drop in made:
+                if table is not last:
+                    drop()
             return labels
         both = edges.union(edges.select("b", "a"))
         near = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to"))
         near = cut(near)
         while True:  # pointers double their reach, so that a chain takes logarithmically many steps
             jump = near.select(F.col("node").alias("to"), F.col("to").alias("further"))
-            jumped = cut(near.join(jump, "to").select("node", F.col("further").alias("to"), (F.col("further") != F.col("to")).alias("moved")))
-            near = jumped.select("node", "to")
-            if jumped.filter("moved").isEmpty():
+            whole = cut(near.join(jump, "to").select("node", F.col("further").alias("to"), (F.col("further") != F.col("to")).alias("moved")))
+            near = whole.select("node", "to")
+            if whole.filter("moved").isEmpty():
                 break
         left, right = near.toDF("a", "x"), near.toDF("b", "y")
         moved = edges.join(left, "a").join(right, "b").filter("x != y")
         edges = cut(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         # What earlier rounds gave moves along.
-        labels = near.toDF("node", "label") if labels is None else cut(labels.join(near.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+        if labels is None:
+            labels, last = near.toDF("node", "label"), whole
+        else:
+            labels = last = cut(labels.join(near.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
     raise RuntimeError("components did not settle")
 
 

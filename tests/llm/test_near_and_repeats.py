@@ -178,6 +178,15 @@ def test_components(spark):
     assert got == {v: min(s) for v, s in seen.items()}
 
 
+def test_components_keep_plans_small(spark):
+    """What the plan says of the labels' size does not grow with the steps that a long chain takes."""
+    r, n = random.Random(3), 60
+    names = [str(x).zfill(9) for x in r.sample(range(n), n)]
+    out = simhash.components(spark.createDataFrame(list(zip(names, names[1:], strict=False)), "a string, b string"))
+    assert out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 64
+    assert {(x.node, x.label) for x in out.collect()} == {(name, min(names)) for name in names}
+
+
 def brute_repeats(data, length):
     texts = [(t or "").encode() for _, t in data]
     seen = Counter(b[p : p + length] for b in texts for p in range(len(b) - length + 1))
