@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import _run
+from . import _run, suffix_dedup
 from . import _text as T
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.95
@@ -157,7 +157,10 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _near(radius: int):
-    """Brute force in each list: links between near vectors, all of them or, where they are dense, a star in each clump."""
+    """Brute force in each list: links between near vectors, all of them or, where they are dense, a star in each clump.
+
+    Where rows have sides 1 and 2, only pairs of one of each are compared; without sides (0), all pairs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = [], []
@@ -166,13 +169,20 @@ def _near(radius: int):
             if n < 2:
                 continue
             names = group.column(1).to_pylist()
-            x = np.frombuffer(b"".join(names), "<u8").reshape(-1, 2)
-            near = []
-            for a in range(0, n, 512):
-                d = np.bitwise_count(x[a : a + 512, None, 0] ^ x[None, a:, 0]) + np.bitwise_count(x[a : a + 512, None, 1] ^ x[None, a:, 1])
-                i, j = np.nonzero(d <= radius)
-                keep = i < j
-                near.append(np.stack([i[keep] + a, j[keep] + a]))
+            low, high = np.ascontiguousarray(np.frombuffer(b"".join(names), "<u8").reshape(-1, 2).T)
+            side = group.column(2).to_numpy()
+            one, two = (np.flatnonzero(side < 2), np.flatnonzero(side != 1))
+            near = [np.empty((2, 0), np.int64)]
+            for a in range(0, len(one), 512):
+                p = one[a : a + 512]
+                for b in range(a if len(one) == n else 0, len(two), 512):  # squares that stay in the cache
+                    q = two[b : b + 512]
+                    d = np.bitwise_count(low[p, None] ^ low[q])
+                    d += np.bitwise_count(high[p, None] ^ high[q])
+                    at = np.flatnonzero(d.ravel() <= radius)
+                    i, j = p[at // len(q)], q[at % len(q)]
+                    keep = i < j if len(one) == n else slice(None)
+                    near.append(np.stack([i[keep], j[keep]]))
             i, j = np.concatenate(near, axis=1)
             if len(i) > 2 * n:  # a star spans what these links connect
                 label = np.arange(n)
@@ -197,11 +207,15 @@ def _near(radius: int):
 
 
 def _blocks(lists: DataFrame, long: DataFrame, list_rows: int) -> DataFrame:
-    """Lists as they are, but long ones (list, count) as all pairs of their parts, which hold half ``list_rows`` each."""
+    """(list, fp, side): lists as they are, but long ones (list, count) as their parts and all pairs of these.
+
+    Parts hold half ``list_rows`` each. Of a pair of parts only the pairs between them are compared.
+    """
     dealt = lists.join(long, "list", "left").withColumn("parts", F.ceil(2 * F.col("count") / list_rows).cast("int")).withColumn("part", F.pmod(F.xxhash64("fp", "list"), "parts"))
-    whole = dealt.filter("parts is null").select("list", "fp")
-    pairs = dealt.filter("parts is not null").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))).filter("part != other")
-    return whole.unionByName(pairs.select(F.xxhash64("list", F.least("part", "other"), F.greatest("part", "other")).alias("list"), "fp"))
+    whole = dealt.filter("parts is null").select("list", "fp", F.lit(0).alias("side"))
+    pairs = dealt.filter("parts is not null").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
+    side = F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2)
+    return whole.unionByName(pairs.select(F.xxhash64("list", F.least("part", "other"), F.greatest("part", "other")).alias("list"), "fp", side.alias("side")))
 
 
 def near_links(vectors: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, list_rows: int = LIST_ROWS, seed: int = 5, divide: int = DIVIDE) -> DataFrame:
@@ -215,12 +229,12 @@ def near_links(vectors: DataFrame, similarity: float = SIMILARITY, recall: float
     for level, centres in enumerate(level_centres(recall, similarity)):
         lists = lists.mapInArrow(_lists(level, centres, seed), "list long, fp binary")
         if vectors.count() <= list_rows:
-            short, long = lists, None
+            short, long = lists.withColumn("side", F.lit(0)), None
         else:
             lists = _run.cut(lists)
             long_ones = _run.cut(lists.groupBy("list").count().filter(F.col("count") > list_rows))
             if long_ones.isEmpty():
-                short, long = lists, None
+                short, long = lists.withColumn("side", F.lit(0)), None
             else:
                 further = long_ones.filter(F.col("count") > (list_rows * divide if level < STRIPS - 1 else 1 << 62)).select("list")
                 short = _blocks(lists.join(further, "list", "left_anti"), long_ones, list_rows)
@@ -360,6 +374,52 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[begin:stop], batch.column(1)[begin:stop], pa.array([s.tobytes() for s in shingles(data, offsets)], pa.binary())], names=["comp", "th", "grams"])
 
 
+def _crossing(texts: DataFrame, similarity: float) -> DataFrame:
+    """Of texts (th, grams, comp, part, head) those that a link may join to another cluster of their component.
+
+    Two texts of a link share at least ``similarity`` of the shingles of each. So a text goes where fewer of its shingles
+    are found in two clusters of its component, and what it shared goes with it: the rest is looked at again while it
+    shrinks. Shingles meet as partial sums, and texts meet a filter of bounded size, which may only let more of them pass.
+    """
+
+    def told(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Text and hash of each shingle, which is told by its component."""
+        sets = [np.frombuffer(g, np.uint64) for g in batch.column(2).to_pylist()]
+        who = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        return who, T.mix(np.concatenate([*sets, np.empty(0, np.uint64)]) ^ batch.column(0).to_numpy().view(np.uint64)[who])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 200):
+                part = batch.slice(at, 200)
+                who, h = told(part)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column(1).take(pa.array(who))], names=["h", "head"])
+
+    left = texts.count()
+    while left:
+        slim = texts.select(F.xxhash64("comp").alias("c"), F.xxhash64("head").alias("head"), "grams")
+        shared = slim.mapInArrow(spread, "h long, head long").groupBy("h").agg(F.min("head").alias("low"), F.max("head").alias("high")).filter("low != high").select("h")
+        shared, drop = _run.stored(shared)
+        keep = suffix_dedup._filter(shared, "h")
+        drop()
+
+        def passing(batches: Iterator[pa.RecordBatch], keep=keep) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, len(batch), 200):
+                    part = batch.slice(at, 200)
+                    who, h = told(part)
+                    some = next(keep(iter([pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(who)], names=["h", "who"])])))
+                    found, size = np.bincount(some.column(1).to_numpy(), minlength=len(part)), np.bincount(who, minlength=len(part))
+                    yield part.filter(pa.array((found > 0) & (found >= similarity * size - 1e-9))).select(["th"])
+
+        some = texts.select(F.xxhash64("comp").alias("c"), "th", "grams").mapInArrow(passing, "th binary")
+        texts = _run.cut(texts.join(some, "th", "left_semi"))
+        before, left = left, texts.count()
+        if left > before // 2:
+            break
+    return texts
+
+
 def _merged(chain: DataFrame, links: DataFrame) -> DataFrame:
     """(th, head) after links (a, b) between heads."""
     merged = components(links.filter("a != b"))
@@ -375,7 +435,8 @@ def near_classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
     Links are found with the probability ``recall`` at that similarity, and more surely above it. A component of more
     than ``verify_rows`` distinct texts is verified in parts: each whole, then up to ``leaders`` texts of each cluster, and then,
-    unless these made it one cluster, each part with each other part on whole sets, except pairs of one cluster.
+    unless these made it one cluster, each part with each other part on whole sets, except pairs of one cluster and
+    texts that share too few shingles with other clusters to have a link to any.
     """
     marks = _run.cut(fingerprints(df, id_column, text_column))
     total = marks.count()
@@ -414,8 +475,12 @@ def near_classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
         if not several.isEmpty():
             texts = given.join(several.select("th", "pick"), ["th", "pick"], "left_semi").dropDuplicates(["th"])
             whole = texts.select(F.col("th").alias("comp"), "th", "text").mapInArrow(_grams, "comp binary, th binary, grams binary").select("th", "grams")
-            pairs = whole.join(several.drop("pick"), "th").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("part != other")
-            block = F.concat("comp", F.encode(F.concat_ws("#", F.lit(""), F.least("part", "other"), F.greatest("part", "other")), "utf-8"))
+            whole = _crossing(_run.cut(whole.join(several.drop("pick"), "th")), similarity)
+            # Parts again, as many as what is left needs, each of them some of the parts before; all in one where it fits a task.
+            few = F.when(F.col("n") > verify_rows, F.ceil(2 * F.col("n") / verify_rows)).otherwise(1)
+            few = whole.join(whole.groupBy("comp").agg(F.count(F.lit(1)).alias("n")), "comp").withColumn("of", F.least("parts", few).cast("int")).withColumn("own", F.floor(F.col("part") * F.col("of") / F.col("parts")).cast("int"))
+            pairs = few.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).filter("of = 1 or own != other")
+            block = F.concat("comp", F.encode(F.concat_ws("#", F.lit(""), F.least("own", "other"), F.greatest("own", "other")), "utf-8"))
             met = pairs.select(block.alias("block"), "part", "head", "grams").repartition("block").sortWithinPartitions("block").mapInArrow(_meet(similarity), "a binary, b binary")
             chain = _merged(chain, met)
     # Texts of many copies are groups too, whether a link was found or not.

@@ -84,6 +84,29 @@ def test_near_parts_meet_whole(spark, monkeypatch):
     assert got == Counter(brute_classes(data))
 
 
+def test_loose_components_meet_few(spark, monkeypatch):
+    """Of a component of many clusters only texts that may have a link to another cluster are compared part by part."""
+    data = star_copies(20) + [(6000 + k, prose(600 + k, 120)) for k in range(180)]
+    df = spark.createDataFrame([(i, t, *["x"] * 14) for i, t in data], SCHEMA)
+    monkeypatch.setattr(simhash, "near_links", lambda vectors, *_, **__: vectors.crossJoin(vectors.agg({"fp": "min"}).toDF("b")).select(vectors["fp"].alias("a"), "b"))
+    met, compare = spark.sparkContext.accumulator(0), simhash._meet
+
+    def counted(similarity):
+        run = compare(similarity)
+
+        def rows(batches):
+            for batch in batches:
+                met.add(len(batch))
+                yield batch
+
+        return lambda batches: run(rows(batches))
+
+    monkeypatch.setattr(simhash, "_meet", counted)
+    got = Counter((r.doc_id, r.class_id, r.class_size) for r in simhash.near_classes(df, verify_rows=20, leaders=1).collect())
+    assert got == Counter(brute_classes(data))
+    assert met.value <= 3 * 21
+
+
 def test_cluster_against_search():
     r = random.Random(6)
     for _ in range(40):
