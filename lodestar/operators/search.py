@@ -1,7 +1,7 @@
 """Nearest-neighbour search over vectors: exact, by sign codes, and routed through clusters.
 
 Queries come as a table. They are taken in blocks of checked size; each block is shipped to the tasks, which scan the
-vectors once with matrix products and keep a partial top-k of each batch; one exchange by query merges these.
+vectors once with matrix products of bounded size and keep the k best of the whole task; one exchange by query merges these.
 Ranks are by score rounded to six digits and then by id, so ties are settled alike everywhere; NaN ranks last.
 """
 
@@ -12,12 +12,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 #: Bytes of query vectors (as double) and routes that one pass ships; more queries take more passes.
 BLOCK_BYTES = 32 << 20
+#: Bytes of scores that a task holds at once: of some queries and the rows of a batch.
+TILE_BYTES = 16 << 20
+#: Rows that a task gathers at least before it drops those beyond the k best, and rows of a batch of results.
+KEPT_ROWS = 100_000
 DIGITS = 6
 
 
@@ -37,55 +42,83 @@ def _matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
     return out
 
 
-def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k best of each column; rows come in the order that settles ties."""
-    n = len(scores)
-    if n <= k:
-        r, c = np.nonzero(np.ones(scores.shape, bool))
-        return r, c
-    s = np.where(np.isnan(scores), -np.inf, scores)
-    edge = np.partition(s, n - k, axis=0)[n - k]
-    col, row = np.nonzero((s >= edge).T)
-    begin = np.searchsorted(col, np.arange(scores.shape[1] + 1))
-    if (np.diff(begin) == k).all():
-        return row, col
-    rows, cols = [], []
-    for j in range(scores.shape[1]):  # ties at the edge: the smallest ids
-        mine = row[begin[j] : begin[j + 1]]
-        mine = mine[np.argsort(-s[mine, j], kind="stable")[:k]]
-        rows.append(mine)
-        cols.append(np.full(len(mine), j))
-    return np.concatenate(rows), np.concatenate(cols)
-
-
-def _blocks(queries: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[pa.Table]:
-    """The queries (query_id, q, and any others) in blocks of about ``limit`` bytes; their size is asked for first."""
+def _best(scores: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best of each row that reach its ``least``; equal ones go by column, NaN comes last."""
+    n = scores.shape[1]
+    empty = np.isnan(scores)
+    s = np.where(empty, -np.inf, np.maximum(scores, np.finfo(float).min)) if empty.any() else scores
+    hit = s >= least[:, None]
+    many = np.flatnonzero(np.count_nonzero(hit, axis=1) > k)
+    if len(many):
+        mine = s[many]
+        edge = np.partition(mine, n - k, axis=1)[:, n - k, None]
+        above, at = mine > edge, mine == edge
+        left = k - np.count_nonzero(above, axis=1)
+        tied = np.flatnonzero(np.count_nonzero(at, axis=1) > left)
+        at[tied] &= np.cumsum(at[tied], axis=1, dtype=np.int32) <= left[tied, None]
+        hit[many] = above | at
+    return np.nonzero(hit)
+
+
+class _Top:
+    """The k best (query, row, score) of each query seen so far, in memory bounded by the number of queries times k."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.least, self.size = k, np.full(n, -np.inf), 0
+        self.limit = max(KEPT_ROWS, 2 * n * k)
+        self.parts: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
+
+    def add(self, asked: np.ndarray, rows: pa.Array, scores: np.ndarray) -> None:
+        if len(asked):
+            self.parts.append((asked, rows, scores))
+            self.size += len(asked)
+        if self.size > self.limit:
+            self.cut()
+
+    def cut(self) -> None:
+        asked, scores = (np.concatenate([p[i] for p in self.parts]) for i in (0, 2))
+        rows = pa.concat_arrays([p[1] for p in self.parts])
+        order = np.lexsort((np.asarray(pc.rank(rows, null_placement="at_start", tiebreaker="dense")), -scores, asked))  # NaN comes last
+        mine = asked[order]
+        first = np.searchsorted(mine, mine)
+        order = order[np.arange(len(mine)) - first < self.k]
+        asked, rows, scores = asked[order], rows.take(pa.array(order)), scores[order]
+        self.parts, self.size = [(asked, rows, scores)], len(asked)
+        last = np.flatnonzero(np.bincount(asked, minlength=len(self.least))[asked] == self.k)[self.k - 1 :: self.k]  # the k-th of each full query
+        self.least[asked[last]] = np.where(np.isnan(scores[last]), -np.inf, scores[last])
+
+
+def _blocks(queries: DataFrame, k: int, limit: int = BLOCK_BYTES) -> Iterator[pa.Table]:
+    """The queries (query_id, q, and any others) in blocks of about ``limit`` bytes, their k best rows counted in; their size is asked for first."""
     n, width = queries.agg(F.count(F.lit(1)), F.max(F.size("q"))).first()
-    blocks = max(1, -(-n * (8 * (width or 1) + 64) // limit))
+    blocks = max(1, -(-n * (8 * (width or 1) + 64 + 16 * k) // limit))
     for b in range(blocks):
         part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         yield part.toArrow()
 
 
 def _scan(vectors: DataFrame, queries: DataFrame, k: int, kind: str, routed: bool, limit: int = BLOCK_BYTES) -> DataFrame:
-    """(query_id, row_id, score): partial top-k of each batch. ``vectors``: (row_id, v[, cluster_id]); ``queries``: (query_id, q[, clusters])."""
+    """(query_id, row_id, score): partial top-k of each task. ``vectors``: (row_id, v[, cluster_id]); ``queries``: (query_id, q[, clusters])."""
     spark = vectors.sparkSession
     ids = vectors.select("row_id").schema[0].dataType.simpleString(), queries.select("query_id").schema[0].dataType.simpleString()
     columns = ["row_id", "v", *(["cluster_id"] if routed else [])]
     out = None
-    for table in _blocks(queries, limit):
+    for table in _blocks(queries, k, limit):
         if not table.num_rows:
             continue
         q = _matrix(table.column("q"))
-        clusters: dict[int, list[int]] = {}
+        clusters: dict[int, np.ndarray] = {}
         if routed:
-            for i, mine in enumerate(table.column("clusters").to_pylist()):
-                for c in mine:
-                    clusters.setdefault(c, []).append(i)
+            mine = table.column("clusters").combine_chunks()
+            of, who = np.asarray(mine.flatten()), np.asarray(pc.list_parent_indices(mine))
+            order = np.argsort(of, kind="stable")
+            keys, begin = np.unique(of[order], return_index=True)
+            clusters = dict(zip(keys.tolist(), np.split(who[order], begin[1:]), strict=True))
         shared = spark.sparkContext.broadcast((table.column("query_id").combine_chunks(), q, clusters))  # at most a block
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, q, clusters = shared.value
+            everyone, top = np.arange(len(q)), _Top(len(q), k)
             for batch in batches:
                 if not len(batch):
                     continue
@@ -93,15 +126,26 @@ def _scan(vectors: DataFrame, queries: DataFrame, k: int, kind: str, routed: boo
                 x = _matrix(batch.column(1), q.shape[1])
                 if kind == "sign":
                     x = np.where(x > 0, 1.0, -1.0)
-                groups = [(np.arange(len(x)), np.arange(len(q)))]
+                groups = [(np.arange(len(x)), everyone)]
                 if routed:
                     of = np.asarray(batch.column(2))
-                    groups = [(np.flatnonzero(of == c), np.asarray(clusters[c])) for c in np.unique(of).tolist() if c in clusters]
+                    groups = [(np.flatnonzero(of == c), clusters[c]) for c in np.unique(of).tolist() if c in clusters]
                 for rows, asked in groups:
-                    with np.errstate(invalid="ignore"):
-                        s = np.round(x[rows] @ q[asked].T, DIGITS)
-                    r, c = _best(s, k)
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(asked[c])), batch.column(0).take(pa.array(rows[r])), pa.array(s[r, c] + 0.0)], names=["query_id", "row_id", "score"])
+                    mine = x[rows]
+                    step = max(1, TILE_BYTES // (8 * len(rows)))
+                    for a in range(0, len(asked), step):
+                        who = asked[a : a + step]
+                        with np.errstate(invalid="ignore"):
+                            s = q[who] @ mine.T
+                            np.round(s, DIGITS, out=s)
+                        r, c = _best(s, k, top.least[who])
+                        top.add(who[r], batch.column(0).take(pa.array(rows[c])), s[r, c] + 0.0)
+            if top.size:
+                top.cut()
+                asked, rows, scores = top.parts[0]
+                for a in range(0, len(asked), KEPT_ROWS):
+                    part = slice(a, a + KEPT_ROWS)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(asked[part])), rows[part], pa.array(scores[part])], names=["query_id", "row_id", "score"])
 
         source = vectors
         if routed:

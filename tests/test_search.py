@@ -1,6 +1,9 @@
 """Vectors, codes, clusters and search: against numpy, and by laws."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +127,69 @@ def test_filters_act_before_ranking(spark):
     index = search.build(v, spark.createDataFrame([(0, [1.0] * DIM)], "cluster_id int, c array<double>"))
     got = search.search(index, frame(spark, q, "query_id", "q"), 1, 5, facets.Filter(domains=["A.com"]).column())
     assert {(a, b * 10, c) for a, b, c in brute(x[::10], q, 5, True)} == rows(got)
+
+
+def scanned(monkeypatch, v, a, k, batches, **options):
+    """What one task makes of batches (row_id, v), in this process, and the most bytes it held."""
+    found = []
+    with monkeypatch.context() as m:
+        m.setattr(type(v), "mapInArrow", lambda self, f, schema: found.append(f) or self)
+        search._scan(v, a, k, "dot", False, **options)
+    tracemalloc.start()
+    try:
+        out = [b for f in found for b in f(iter(batches))]
+        return pa.Table.from_batches(out).to_pylist(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def batches_of(x, ids, step):
+    made = pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))
+    return [pa.RecordBatch.from_arrays([pa.array(ids[a : a + step]), made[a : a + step]], names=["row_id", "v"]) for a in range(0, len(x), step)]
+
+
+def test_a_task_holds_slices_and_sends_k_rows(spark, monkeypatch):
+    """Neither the scores held at once nor the rows sent grow with batches times queries."""
+    x, q = made(10_000)[:, :4], made(3000, seed=1)[:, :4]
+    v, a = frame(spark, x[:1]), frame(spark, q, "query_id", "q")
+    got, held = scanned(monkeypatch, v, a, 3, batches_of(x, np.arange(len(x)), 5000))
+    assert held < 150e6 < 8 * 5000 * len(q) * 1.5  # before, all scores of a batch, several times
+    assert len(got) == 3 * len(q)
+    assert sorted((r["query_id"], r["row_id"]) for r in got) == sorted((i, j) for i, j, _ in brute(x, q, 3))
+
+
+@pytest.mark.parametrize("string", [False, True])
+def test_a_task_drops_rows_as_the_ranking_does(spark, monkeypatch, string):
+    """In the smallest slices and with rows dropped all the time: ties across batches, NaN, infinite values, few rows."""
+    monkeypatch.setattr(search, "TILE_BYTES", 200, raising=False)
+    monkeypatch.setattr(search, "KEPT_ROWS", 1, raising=False)
+    r = np.random.default_rng(3)
+    x = r.integers(-1, 2, (90, 2)).astype(float)
+    x[5], x[6], x[70] = [np.nan, 0], [-np.inf, 1], [np.inf, 1]
+    q = np.asarray([[1.0, 0.5], [0.5, -1.0], [-1.0, -0.5], [1.0, 1.0]])
+    ids = r.permutation(90)
+    names = [f"{i:03}" for i in ids] if string else ids
+    v = frame(spark, x[:1]).withColumn("row_id", F.col("row_id").cast("string" if string else "long"))
+    with np.errstate(invalid="ignore"):
+        s = np.round(q @ x.T, 6)
+    for k in (1, 4, 88, 89, 200):
+        got, _ = scanned(monkeypatch, v, frame(spark, q, "query_id", "q"), k, batches_of(x, names, 13))
+        want = [(i, names[j]) for i in range(len(q)) for j in np.lexsort((ids, -s[i]))[:k]]
+        assert [(g["query_id"], g["row_id"]) for g in got] == want
+
+
+def test_many_batches_and_tasks(spark):
+    """Searches of small batches in several tasks, routed or not, are the brute force; a query's ids may be strings."""
+    x, q = made(300), made(9, seed=1)
+    x[150:] = x[:150]
+    v, a = frame(spark, x).repartition(3, "row_id"), frame(spark, q, "query_id", "q")
+    index = search.build(v, spark.createDataFrame([(i, [float(y) for y in x[i * 20]]) for i in range(5)], "cluster_id int, c array<double>"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        assert search._scan(v.coalesce(1), a, 4, "dot", False).count() == 4 * len(q)
+        assert rows(search.exact_topk(v, a, 7)) == brute(x, q, 7)
+        assert rows(search.sign_topk(v, a, 7)) == rows(search.search(index, a, 5, 7)) == brute(x, q, 7, True)
+        named = search.exact_topk(v, a.withColumn("query_id", F.concat(F.lit("q"), "query_id")), 7)
+        assert {(int(i[1:]), j, k) for i, j, k in rows(named)} == brute(x, q, 7)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
