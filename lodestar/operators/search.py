@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-#: Bytes of query vectors (as double) and routes that one pass ships; more queries take more passes.
+#: Bytes of query vectors (as double), routes and kept rows of one pass; more queries take more passes.
 BLOCK_BYTES = 32 << 20
 #: Bytes of scores that a task holds at once: of some queries and the rows of a batch.
 TILE_BYTES = 16 << 20
@@ -91,7 +91,7 @@ class _Top:
 def _blocks(queries: DataFrame, k: int, limit: int = BLOCK_BYTES) -> Iterator[pa.Table]:
     """The queries (query_id, q, and any others) in blocks of about ``limit`` bytes, their k best rows counted in; their size is asked for first."""
     n, width = queries.agg(F.count(F.lit(1)), F.max(F.size("q"))).first()
-    blocks = max(1, -(-n * (8 * (width or 1) + 64 + 16 * k) // limit))
+    blocks = max(1, -(-n * (8 * (width or 1) + 64 + 64 * k) // limit))  # a kept row takes 24 bytes, twice, and is sorted
     for b in range(blocks):
         part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         yield part.toArrow()
